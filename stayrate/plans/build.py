@@ -24,7 +24,7 @@ class Prepared:
     combined: DataFrame
 
 
-def prepare(src: Sources, p: Params, keep: bool = True) -> Prepared:
+def prepare(src: Sources, p: Params, keep: bool = True, calendar: DataFrame | None = None) -> Prepared:
     """Weekly relations and the long table.
 
     Eligible riders and the two weekly aggregates that are read several times are written once; they
@@ -42,7 +42,7 @@ def prepare(src: Sources, p: Params, keep: bool = True) -> Prepared:
         violations=weekly.weekly_violations(src.compliance, p),
         gaps=activity.booking_gaps(src.slots, eligible, p),
         benchmark=weekly.city_benchmark(delivered, shifts),
-        holidays=weekly.holiday_weeks(weekly.holiday_calendar(eligible.sparkSession), p),
+        holidays=weekly.holiday_weeks(calendar if calendar is not None else weekly.holiday_calendar(eligible.sparkSession), p),
     )
     combined = features.combine_weekly(
         activity.relative_periods(
@@ -53,9 +53,9 @@ def prepare(src: Sources, p: Params, keep: bool = True) -> Prepared:
     return Prepared(anchor, inputs, weekly.acquisition_source(src.applicants, p.country), combined)
 
 
-def feature_table(src: Sources, p: Params, keep: bool = True) -> DataFrame:
+def feature_table(src: Sources, p: Params, keep: bool = True, calendar: DataFrame | None = None) -> DataFrame:
     """The wide table, one row per eligible rider."""
-    ready = prepare(src, p, keep)
+    ready = prepare(src, p, keep, calendar)
     early = features.early_life(
         ready.anchor,
         src.orders_nested,

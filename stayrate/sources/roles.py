@@ -20,6 +20,20 @@ COUNTRY = "ALL"
 EVENT_SHIFT_DAYS = 8218
 
 
+# Holidays with a fixed month and day.
+FIXED_HOLIDAYS = {
+    "01-01": "New Year Day",
+    "01-06": "Epiphany",
+    "05-01": "Labour Day",
+    "05-03": "Constitution Day",
+    "08-15": "Assumption Day",
+    "11-01": "All Saints Day",
+    "11-11": "Independence Day",
+    "12-25": "Christmas Day",
+    "12-26": "Second Day of Christmas",
+}
+
+
 @dataclass(frozen=True)
 class Sources:
     """Canonical input tables."""
@@ -361,6 +375,15 @@ def playbook_sheet(star: Star) -> DataFrame:
     )
 
 
+def order_day_calendar(star: Star) -> DataFrame:
+    """Order days that fall on a holiday with a fixed month and day."""
+    named = F.create_map(*[F.lit(x) for md, n in FIXED_HOLIDAYS.items() for x in (md, n)])
+    days = star.table("orders").select(F.to_date("o_orderdate").alias("holiday_date")).distinct()
+    return days.withColumn("holiday_name", F.try_element_at(named, F.date_format("holiday_date", "MM-dd"))).where(
+        F.col("holiday_name").isNotNull()
+    )
+
+
 # ---- plain rider tables for the lifetime features ------------------------------------------------
 
 
