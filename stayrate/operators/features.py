@@ -90,7 +90,7 @@ def rider_history(combined: DataFrame, country: str = "ALL") -> DataFrame:
 
 def at(metric: str, k: int, history: str = "h") -> Column:
     """Measure at offset k; NULL beyond the end."""
-    return F.get(F.col(f"{history}.{metric}"), F.lit(k))
+    return F.expr(f"get({history}.{metric}, {k})")
 
 
 def stable_value(name: str) -> Column:

@@ -27,10 +27,18 @@ def _rider(c: str = "rider_id") -> Column:
 
 
 def weekly_shift_kpis(kpi: DataFrame, p: Params) -> DataFrame:
-    """Shift counts, hours and no-show share per rider and period."""
+    """Shift counts, hours and no-show share per rider and period.
+
+    City and vehicle are keys of a first, purely numeric aggregation. A maximum of a text column
+    would turn the pass over the raw rows into a sort; here it only sees the few rows that are left.
+    """
     day = F.to_date("created_date_local")
     rows = kpi.where(all_of(in_country(p.country), F.col("rider_id").isNotNull(), _window(day, p)))
-    return rows.groupBy(_rider(), period_start(day, p.period).alias("week")).agg(
+    first = rows.groupBy(_rider(), period_start(day, p.period).alias("week"), "city_name", "vehicle_name").agg(
+        F.max("batch_number").alias("batch_number"),
+        *[F.sum(c).alias(c) for c in ("no_shows", "shifts_done", "all_shifts", "working_time")],
+    )
+    return first.groupBy("rider_id", "week").agg(
         F.max("city_name").alias("city_name"),
         F.max("vehicle_name").alias("vehicle_name"),
         F.max("batch_number").alias("batch_number"),
@@ -58,37 +66,64 @@ def _done() -> Column:
     )
 
 
-def delivery_measures(vendor_rows_need_seconds: bool = False) -> list[Column]:
-    """Aggregates over paid deliveries. Pay repeats on every delivery of an order."""
+def delivery_sums(rows: DataFrame, keys: list[Column | str], vendor_rows_need_seconds: bool = False) -> DataFrame:
+    """Numeric sums per key and bad-weather order, in one hash aggregation over the raw rows.
+
+    Pay repeats on every delivery of an order. ``bw_order`` is NULL except for completed orders with a
+    weather bonus, so nearly all rows of a key fall into one group.
+    """
     pay = F.col("total_compensation_local_currency")
     rain, snow = F.col("rain_bonus_cost_local_currency"), F.col("snow_bonus_cost_local_currency")
     completed = F.col("delivery_status") == "completed"
-    orders = F.sum(F.when(_done(), F.col("primary_delivery_count")))
     customer = F.when(
         F.col("auto_transition_dropoff").isNull() & (F.col("at_customer_time_in_seconds") > 0),
         F.col("at_customer_time_in_seconds") / F.lit(60.0),
     )
     near = F.col("rider_near_restaurant_at").isNotNull()
     vendor = F.when(near, F.col("at_vendor_time_in_seconds") / F.lit(60.0))
-    vendor_rows = F.count(vendor) if vendor_rows_need_seconds else F.count(F.when(near, F.lit(1)))
     pickup, dropoff = F.col("pickup_distance_google_in_meters"), F.col("dropoff_distance_google_in_meters")
+    means = {
+        "pickup": pickup,
+        "dropoff": dropoff,
+        "both": dropoff + pickup,
+        "customer": customer,
+        "courier": F.col("courier_delivery_time_in_seconds"),
+    }
+    return rows.groupBy(*keys, F.when(((rain + snow) > 0) & completed, F.col("order_id")).alias("bw_order")).agg(
+        F.sum(F.when(_done(), F.col("primary_delivery_count"))).alias("orders"),
+        F.sum(pay).alias("pay"),
+        F.sum(pay - rain - snow).alias("net"),
+        F.count(F.when(completed & (F.col("total_stacked_deliveries") >= 1), F.col("delivery_id"))).alias("stacked"),
+        F.count("delivery_id").alias("rows"),
+        *[f(v).alias(f"{n}_{k}") for n, v in means.items() for f, k in ((F.sum, "s"), (F.count, "n"))],
+        F.sum(vendor).alias("vendor_s"),
+        F.count(vendor if vendor_rows_need_seconds else F.when(near, F.lit(1))).alias("vendor_n"),
+        F.sum("total_reassignments").alias("reassigned"),
+        F.sum("total_deliveries").alias("deliveries"),
+    )
+
+
+def delivery_measures(bw_orders: Column) -> list[Column]:
+    """The published measures from the sums."""
+
+    def mean(name: str, scale: float) -> Column:
+        return safe_div(F.sum(f"{name}_s"), F.sum(f"{name}_n")) / F.lit(scale)
+
+    orders = F.sum("orders")
     return [
         orders.alias("total_orders_cpo"),
-        F.countDistinct(F.when(((rain + snow) > 0) & completed, F.col("order_id"))).alias("total_bw_orders"),
-        F.sum(pay).alias("total_earnings"),
-        safe_div(F.sum(pay), orders).alias("cpo_local_currency"),
-        safe_div(F.sum(pay - rain - snow), orders).alias("net_cpo_lc"),
-        safe_div(
-            F.count(F.when(completed & (F.col("total_stacked_deliveries") >= 1), F.col("delivery_id"))),
-            F.count("delivery_id"),
-        ).alias("perc_stacking"),
-        (F.avg(pickup) / F.lit(1000.0)).alias("avg_sp_distance_google"),
-        (F.avg(dropoff) / F.lit(1000.0)).alias("avg_pd_distance_google"),
-        (F.avg(dropoff + pickup) / F.lit(1000.0)).alias("avg_total_distance_google"),
-        F.avg(customer).alias("at_customer_time_in_minutes"),
-        safe_div(F.sum(vendor), vendor_rows).alias("at_vendor_time_in_minutes"),
-        (F.avg("courier_delivery_time_in_seconds") / F.lit(60.0)).alias("cdt"),
-        safe_div(F.sum("total_reassignments"), F.sum("total_deliveries")).alias("perc_reas"),
+        bw_orders.alias("total_bw_orders"),
+        F.sum("pay").alias("total_earnings"),
+        safe_div(F.sum("pay"), orders).alias("cpo_local_currency"),
+        safe_div(F.sum("net"), orders).alias("net_cpo_lc"),
+        safe_div(F.sum("stacked"), F.sum("rows")).alias("perc_stacking"),
+        mean("pickup", 1000.0).alias("avg_sp_distance_google"),
+        mean("dropoff", 1000.0).alias("avg_pd_distance_google"),
+        mean("both", 1000.0).alias("avg_total_distance_google"),
+        mean("customer", 1.0).alias("at_customer_time_in_minutes"),
+        mean("vendor", 1.0).alias("at_vendor_time_in_minutes"),
+        mean("courier", 60.0).alias("cdt"),
+        safe_div(F.sum("reassigned"), F.sum("deliveries")).alias("perc_reas"),
     ]
 
 
@@ -105,8 +140,11 @@ def weekly_delivery_economics(
     )
     if dedupe_orders:
         rows = _pay_once(rows)
-    return rows.groupBy(_rider(), "week").agg(
-        F.max("city_code").alias("city_code"), F.max("zone_name").alias("zone_name"), *delivery_measures()
+    sums = delivery_sums(rows, [_rider(), "week", "city_code", "zone_name"])
+    return sums.groupBy("rider_id", "week").agg(
+        F.max("city_code").alias("city_code"),
+        F.max("zone_name").alias("zone_name"),
+        *delivery_measures(F.countDistinct("bw_order")),
     )
 
 
@@ -142,7 +180,8 @@ def weekly_kpi_variant(deliveries: DataFrame, payments: DataFrame, kpi: DataFram
         rows = rows.where(country)
     rows = rows.withColumn("week", period_start(day, p.period)).withColumn("rider_id", F.col("rider_id").cast("string"))
     keys = ["country_code", "city_code", "zone_name", "rider_id", "week"]
-    measured = rows.groupBy(*keys).agg(*delivery_measures(vendor_rows_need_seconds=True))
+    sums = delivery_sums(rows, list(keys), vendor_rows_need_seconds=True)
+    measured = sums.groupBy(*keys).agg(*delivery_measures(F.count("bw_order")))
     return measured.join(shifts, ["rider_id", "week"], "left").select(
         *keys,
         *[c for c in measured.columns if c not in keys],

@@ -94,7 +94,7 @@ def training_panel(src: Sources, p: Params, full_history: bool = False, **option
         wide = long_history_table(src, p.but(n_periods=8 + p.max_offset))
     else:
         wide = feature_table(src, p)
-    return panel.forward_event_panel(wide, snapshot, p, unique_riders=True, **options)
+    return panel.forward_event_panel(durable(wide), snapshot, p, unique_riders=True, **options)
 
 
 def score_week(panel_rows: DataFrame, model: PipelineModel, week: str = "event_week") -> DataFrame:

@@ -363,9 +363,11 @@ PANEL_FAMILIES = ("total_orders_cpo", "total_earnings", "no_shows", "hours_worke
 
 def _wide_core(star: roles.Star) -> DataFrame:
     wide = _wide(star)
-    return wide.select(
-        "rider_id", "country_code", "city_code", "segment", "week_of_churn", "anchor_week",
-        *[f"{m}_W{k}" for m in PANEL_FAMILIES for k in range(8)],
+    return durable(
+        wide.select(
+            "rider_id", "country_code", "city_code", "segment", "week_of_churn", "anchor_week",
+            *[f"{m}_W{k}" for m in PANEL_FAMILIES for k in range(8)],
+        )
     )
 
 
@@ -384,9 +386,11 @@ def forward_panel_full_history(star):
     src = roles.sources(star)
     p = QUARTER.but(max_offset=3)
     wide = build.long_history_table(src, p.but(n_periods=11))
-    wide = wide.select(
-        "rider_id", "segment", "week_of_churn", "anchor_week",
-        *[f"{m}_W{k}" for m in ("total_orders_cpo", "total_earnings") for k in range(11)],
+    wide = durable(
+        wide.select(
+            "rider_id", "segment", "week_of_churn", "anchor_week",
+            *[f"{m}_W{k}" for m in ("total_orders_cpo", "total_earnings") for k in range(11)],
+        )
     )
     snapshot = activity.activity_snapshot(src.orders_nested, src.slots, p)
     return panel.forward_event_panel(
@@ -396,7 +400,7 @@ def forward_panel_full_history(star):
 
 @query
 def time_split(star):
-    rows = _panel(star, derive=False).select("rider_id", "event_week", "is_churned")
+    rows = durable(_panel(star, derive=False).select("rider_id", "event_week", "is_churned"))
     train, test, how = panel.time_split(rows)
     both = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
     return both.groupBy("part").agg(
@@ -777,8 +781,8 @@ def ml_importance(star):
 
 @query
 def rolling_backtest(star):
-    rows = _panel(star, derive=False)
-    late = panel.weeks_of(durable(rows))[-6:]
+    rows = durable(_panel(star, derive=False))
+    late = panel.weeks_of(rows)[-6:]
     return ml.rolling_backtest(
         rows,
         lambda: LogisticRegression(maxIter=10, weightCol=ml.WEIGHT, labelCol=ml.LABEL, featuresCol="features"),
