@@ -17,7 +17,6 @@ from stayrate.functions.common import (
     present,
     safe_div,
     season,
-    to_number,
     weekly_families,
 )
 from stayrate.functions.rules import DELTA_METRICS, LEAKAGE_COLUMNS, PER_ORDER_METRICS, WEEKLY_METRICS
@@ -71,14 +70,16 @@ def combine_weekly(rider_periods: DataFrame, w: WeeklyInputs) -> DataFrame:
     return rows.withColumns(derived).drop("city_name", "city_avg_total_earnings")
 
 
-def rider_history(combined: DataFrame, country: str = "ALL") -> DataFrame:
+def rider_history(
+    combined: DataFrame, country: str = "ALL", metrics: Sequence[str] = WEEKLY_METRICS
+) -> DataFrame:
     """One row per rider with its periods as an array, newest first.
 
     A rider has one entry per offset by construction, so the array never exceeds the number of
     periods. Everything wide (pivot, deltas, RFM, panels) is then a projection without a shuffle.
     """
     fields = ["week_offset", "feature_week", "city_code", "zone_name", "vehicle_name", "season_name"]
-    fields += [*WEEKLY_METRICS, "avg_total_distance_google"]
+    fields += [*metrics, "avg_total_distance_google"]
     entry = F.struct(*fields)
     rows = combined.groupBy("rider_id").agg(
         F.max("segment").alias("segment"),
@@ -263,56 +264,71 @@ def early_life(
     )
 
 
-def per_order_columns(columns: Sequence[str], numerators: Sequence[str] = PER_ORDER_METRICS) -> list[Column]:
-    """Each numerator divided by the orders of the same period."""
-    have = set(columns)
-    return [
-        safe_div(to_number(f"{m}_W{k}"), to_number(f"total_orders_cpo_W{k}")).alias(f"{m}_per_order_W{k}")
+def _number_sql(name: str) -> str:
+    """SQL text: the column as a finite double, NULL where it is not one."""
+    value = f"try_cast(`{name}` AS DOUBLE)"
+    return f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
+
+
+def _with_numbers(df: DataFrame, sources: Sequence[str], derived: Sequence[tuple[str, str]]) -> DataFrame:
+    """Add derived columns, given as (name, SQL over ``n_<column>``), with each source coerced once.
+
+    Hundreds of columns are passed as text, which the driver builds much faster than column objects.
+    """
+    if not derived:
+        return df
+    numbers = [f"{_number_sql(c)} AS `n_{c}`" for c in sources]
+    staged = df.selectExpr(*[f"`{c}`" for c in df.columns], *numbers)
+    return staged.selectExpr(*[f"`{c}`" for c in df.columns], *[f"{sql} AS `{name}`" for name, sql in derived])
+
+
+def per_order_features(df: DataFrame, numerators: Sequence[str] = PER_ORDER_METRICS) -> DataFrame:
+    """Add each numerator divided by the orders of the same period."""
+    have = set(df.columns)
+    pairs = [
+        (f"{m}_W{k}", f"total_orders_cpo_W{k}", f"{m}_per_order_W{k}")
         for k in range(8)
         if f"total_orders_cpo_W{k}" in have
         for m in numerators
         if f"{m}_W{k}" in have
     ]
+    used = sorted({c for num, den, _ in pairs for c in (num, den)})
+    return _with_numbers(df, used, [(name, f"try_divide(`n_{num}`, `n_{den}`)") for num, den, name in pairs])
+
+
+def slope_sql(series: Sequence[str]) -> str:
+    """Least-squares slope over positions 0, 1, ... of the known values; needs at least three.
+
+    Plain sums, so it stays one generated expression per row.
+    """
+    known = [f"int(`{c}` IS NOT NULL)" for c in series]
+    value = [f"coalesce(`{c}`, 0D)" for c in series]
 
+    def total(parts: Sequence[str], power: int = 0) -> str:
+        return "(" + " + ".join(f"{x**power} * {v}" if power else v for x, v in enumerate(parts)) + ")"
 
-def per_order_features(df: DataFrame) -> DataFrame:
-    return df.select("*", *per_order_columns(df.columns))
+    n, sx, sxx = total(known), total(known, 1), total(known, 2)
+    sy, sxy = total(value), total(value, 1)
+    return f"CASE WHEN {n} >= 3 THEN try_divide({n} * {sxy} - {sx} * {sy}, {n} * {sxx} - {sx} * {sx}) END"
 
 
-def trend_columns(columns: Sequence[str], families: Sequence[str] | None = None) -> list[Column]:
-    """Adjacent differences, relative differences and the slope over time for every family."""
-    have = set(columns)
-    out: list[Column] = []
-    for fam in families if families is not None else weekly_families(columns):
+def wow_trends(df: DataFrame, families: Sequence[str] | None = None) -> DataFrame:
+    """Add adjacent differences, relative differences and the slope over time for every family."""
+    have = set(df.columns)
+    derived: list[tuple[str, str]] = []
+    used: list[str] = []
+    for fam in families if families is not None else weekly_families(df.columns):
         offsets = [k for k in range(8) if f"{fam}_W{k}" in have]
+        used += [f"{fam}_W{k}" for k in offsets]
         for k in offsets:
             if k + 1 not in offsets:
                 continue
-            new, old = to_number(f"{fam}_W{k}"), to_number(f"{fam}_W{k + 1}")
-            out.append((new - old).alias(f"{fam}_wow_delta_W{k}_W{k + 1}"))
-            out.append(safe_div(new - old, old).alias(f"{fam}_wow_pct_change_W{k}_W{k + 1}"))
+            new, old = f"`n_{fam}_W{k}`", f"`n_{fam}_W{k + 1}`"
+            derived.append((f"{fam}_wow_delta_W{k}_W{k + 1}", f"{new} - {old}"))
+            derived.append((f"{fam}_wow_pct_change_W{k}_W{k + 1}", f"try_divide({new} - {old}, {old})"))
         if len(offsets) >= 3:
-            out.append(slope([to_number(f"{fam}_W{k}") for k in reversed(offsets)]).alias(f"{fam}_trend_slope_8w"))
-    return out
-
-
-def slope(series: Sequence[Column]) -> Column:
-    """Least-squares slope over positions 0, 1, ... of the known values; needs at least three.
-
-    Written as plain sums, so it stays one generated expression per row.
-    """
-    n = sx = sxx = F.lit(0.0)
-    sy = sxy = F.lit(0.0)
-    for x, y in enumerate(series):
-        known = F.when(y.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
-        value = F.coalesce(y, F.lit(0.0))
-        n, sx, sxx = n + known, sx + known * float(x), sxx + known * float(x * x)
-        sy, sxy = sy + value, sxy + value * float(x)
-    return F.when(n >= 3, safe_div(n * sxy - sx * sy, n * sxx - sx * sx))
-
-
-def wow_trends(df: DataFrame, families: Sequence[str] | None = None) -> DataFrame:
-    return df.select("*", *trend_columns(df.columns, families))
+            derived.append((f"{fam}_trend_slope_8w", slope_sql([f"n_{fam}_W{k}" for k in reversed(offsets)])))
+    return _with_numbers(df, used, derived)
 
 
 def labelled_cross_section(wide: DataFrame, snapshot: DataFrame) -> DataFrame:

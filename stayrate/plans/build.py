@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import durable
-from stayrate.operators import activity, features, panel, score, weekly
+from stayrate.functions.rules import WEEKLY_METRICS
+from stayrate.operators import activity, features, ml, panel, score, weekly
 from stayrate.params import Params
 from stayrate.sources.roles import Sources
 
@@ -70,16 +72,25 @@ def feature_table(src: Sources, p: Params, keep: bool = True, calendar: DataFram
     return features.pivot_features(history, dates, ready.applications, early)
 
 
-def long_history_table(src: Sources, p: Params) -> DataFrame:
-    """Weekly measures at offsets 0..n_periods-1 for panels whose lags reach beyond eight periods."""
-    ready = prepare(src, p)
-    history = features.rider_history(ready.combined, p.country or "ALL")
-    return history.select(
-        "rider_id",
-        "segment",
-        "week_of_churn",
-        features.at("feature_week", 0).alias("anchor_week"),
-        *features.wide_weeks(n=p.n_periods),
+def history_table(
+    src: Sources, p: Params, metrics: Sequence[str] = WEEKLY_METRICS, calendar: DataFrame | None = None
+) -> DataFrame:
+    """Weekly measures at offsets 0..n_periods-1, written once: the input of a panel.
+
+    It has the weekly and stable columns of the feature table, at any depth.
+    """
+    ready = prepare(src, p, calendar=calendar)
+    history = features.rider_history(ready.combined, p.country or "ALL", metrics)
+    return durable(
+        history.select(
+            "rider_id",
+            "country_code",
+            *[features.stable_value(c).alias(c) for c in ("city_code", "zone_name", "vehicle_name")],
+            "segment",
+            "week_of_churn",
+            features.at("feature_week", 0).alias("anchor_week"),
+            *features.wide_weeks(metrics, p.n_periods),
+        )
     )
 
 
@@ -90,20 +101,15 @@ def training_panel(src: Sources, p: Params, full_history: bool = False, **option
     because of the stored depth.
     """
     snapshot = activity.activity_snapshot(src.orders_nested, src.slots, p)
-    if full_history:
-        wide = long_history_table(src, p.but(n_periods=8 + p.max_offset))
-    else:
-        wide = feature_table(src, p)
-    return panel.forward_event_panel(durable(wide), snapshot, p, unique_riders=True, **options)
+    depth = p.but(n_periods=p.n_periods + p.max_offset) if full_history else p
+    return panel.forward_event_panel(history_table(src, depth), snapshot, p, unique_riders=True, **options)
 
 
 def score_week(panel_rows: DataFrame, model: PipelineModel, week: str = "event_week") -> DataFrame:
     """Score the newest event period, rank it and explain it."""
-    from stayrate.operators.ml import score as apply_model
-
     newest = panel_rows.agg(F.max(week).alias("m")).first()["m"]
     current = panel_rows.where(F.col(week) == F.lit(newest))
-    ranked = score.rank_rows(apply_model(model, current))
+    ranked = score.rank_rows(ml.score(model, current))
     return with_drivers(ranked)
 
 

@@ -362,13 +362,7 @@ PANEL_FAMILIES = ("total_orders_cpo", "total_earnings", "no_shows", "hours_worke
 
 
 def _wide_core(star: roles.Star) -> DataFrame:
-    wide = _wide(star)
-    return durable(
-        wide.select(
-            "rider_id", "country_code", "city_code", "segment", "week_of_churn", "anchor_week",
-            *[f"{m}_W{k}" for m in PANEL_FAMILIES for k in range(8)],
-        )
-    )
+    return build.history_table(roles.sources(star), QUARTER, PANEL_FAMILIES, roles.order_day_calendar(star))
 
 
 def _panel(star: roles.Star, **options) -> DataFrame:
@@ -385,13 +379,7 @@ def forward_panel(star):
 def forward_panel_full_history(star):
     src = roles.sources(star)
     p = QUARTER.but(max_offset=3)
-    wide = build.long_history_table(src, p.but(n_periods=11))
-    wide = durable(
-        wide.select(
-            "rider_id", "segment", "week_of_churn", "anchor_week",
-            *[f"{m}_W{k}" for m in ("total_orders_cpo", "total_earnings") for k in range(11)],
-        )
-    )
+    wide = build.history_table(src, p.but(n_periods=11), ("total_orders_cpo", "total_earnings"))
     snapshot = activity.activity_snapshot(src.orders_nested, src.slots, p)
     return panel.forward_event_panel(
         wide, snapshot, p, derive=False, unique_riders=True, tenure_at_event=True, label_delay_periods=1
