@@ -182,15 +182,24 @@ def playbook_by_topics(playbook: DataFrame, limit: int = 5) -> DataFrame:
         topic_mask(F.concat_ws(" ", "impact", "metric", "action")).alias("own"),
         bonus.alias("bonus"),
     )
-    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << len(TOPIC_KEYWORDS)) - 1))).alias("topics"))
-    score = F.bit_count(F.col("own").bitwiseAND(F.col("topics"))).cast("double") + F.col("bonus")
-    detail = F.struct(
-        "action", "impact", "metric", "reason", "estimated_cost", "owner", F.col("match_score").alias("match_score")
+    # Rows with the same topics and bonus score alike for every city, so only the first `limit` actions
+    # of such a class can ever be chosen; this bounds the table whatever the length of the sheet.
+    detail = F.struct("action", "impact", "metric", "reason", "estimated_cost", "owner")
+    firsts = rows.groupBy("own", "bonus", "action").agg(
+        F.min("row_no").alias("row_no"), F.min_by(detail, "row_no").alias("d")
     )
+    in_class = Window.partitionBy("own", "bonus").orderBy("row_no")
+    useful = firsts.withColumn("nth", F.row_number().over(in_class)).where(F.col("nth") <= limit).drop("nth")
+    topic_sets = F.explode(F.sequence(F.lit(0), F.lit((1 << len(TOPIC_KEYWORDS)) - 1)))
+    match = F.bit_count(F.col("own").bitwiseAND(F.col("topics"))).cast("double") + F.col("bonus")
+    scored = useful.select("*", topic_sets.alias("topics")).withColumn("match_score", match)
     best = (
-        spread.withColumn("match_score", score)
-        .groupBy("topics", "action")
-        .agg(F.min_by(F.struct("row_no", detail.alias("d")), F.struct(-F.col("match_score"), "row_no")).alias("b"))
+        scored.groupBy("topics", "action")
+        .agg(
+            F.min_by(
+                F.struct("row_no", F.struct("d.*", "match_score").alias("d")), F.struct(-F.col("match_score"), "row_no")
+            ).alias("b")
+        )
         .select("topics", "b.row_no", "b.d")
     )
     w = Window.partitionBy("topics").orderBy(F.col("d.match_score").desc(), F.col("row_no"))
