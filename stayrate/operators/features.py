@@ -189,7 +189,8 @@ def early_life(
 ) -> DataFrame:
     """First days of newbies: time to the first order, orders, violations and pay against the city.
 
-    Orders and violations are reduced per rider and day before they meet the newbies.
+    Orders are reduced per rider and day before they meet the newbies. Violations meet them in an inner
+    join, which Spark may split on both sides when one rider has very many; riders without any get 0.
     """
     first = anchor.where((F.col("segment") == "newbie") & F.col("first_order_date").isNotNull()).select(
         "rider_id", "first_order_date"
@@ -228,7 +229,7 @@ def early_life(
     )
     violations = (
         first.alias("f")
-        .join(ids.alias("c"), within, "left")
+        .join(ids.alias("c"), within)
         .groupBy(F.col("f.rider_id").alias("rider_id"))
         .agg(F.countDistinct("c.id").alias("compliance_events_first_30d"))
     )
@@ -254,7 +255,7 @@ def early_life(
             days_between("first_order_date", "registration_date").alias("days_registration_to_first_order"),
             "orders_first_7d",
             "orders_first_30d",
-            "compliance_events_first_30d",
+            nz("compliance_events_first_30d").alias("compliance_events_first_30d"),
             "first_week_earnings",
             "city_avg_earnings_first_week",
             safe_div("first_week_earnings", "city_avg_earnings_first_week").alias(
