@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from stayrate.functions import common
 from stayrate.functions.ordering import durable
-from stayrate.functions.rules import WEEKLY_METRICS
 from stayrate.operators import activity, correlate, drift, evaluate, features, lifetime, ml, panel, score, weekly
 from stayrate.params import Params
 from stayrate.plans import build
