@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stayrate.llm import url_filter
+from stayrate.llm import chat, quality, url_filter
 from stayrate.llm.common import Query, table
 
 #: The rules of the url query: host, path, action.
@@ -46,6 +47,73 @@ from u left join hit h on h.page_id = u.page_id and h.n = 1
 """
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document with the verdict of the current policy."""
+    entries = quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+    return entries.select(
+        "doc_id",
+        *quality.MEASURES,
+        "failed",
+        (F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0).alias("base_failed"),
+        "kept",
+    )
+
+
+ORACLE["op5_quality_rules"] = r"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+s as (select doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
+w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from s),
+g as (select doc_id, i, w || ' ' || lead(w, 1) over d || ' ' || lead(w, 2) over d || ' ' || lead(w, 3) over d || ' ' || lead(w, 4) over d as g
+  from w window d as (partition by doc_id order by i)),
+c as (select doc_id, i, count(*) over (partition by doc_id, g) as c from g where g is not null),
+r as (select doc_id, count(distinct i + j) as n from c, range(0, 5) x(j) where c >= 2 group by doc_id),
+m as (select s.doc_id, len(ws) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) as n_lines,
+  len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+  length(text) - length(regexp_replace(text, '\p{L}+', '', 'g')) as n_letters,
+  length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g')) as n_capitals,
+  length(text) - length(regexp_replace(text, '!+', '', 'g')) as n_exclamations,
+  length(text) - length(regexp_replace(text, '[0-9]+', '', 'g')) as n_digits
+  from s left join r using (doc_id)),
+f as (select *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (10 * n_symbols > n_words)::int
+  + 8 * (10 * n_dup_lines > 3 * n_lines)::int + 16 * (word_chars < 2 * n_words)::int + 32 * (word_chars > 14 * n_words)::int
+  + 64 * (2 * n_letters < word_chars)::int + 128 * (2 * n_capitals > n_letters)::int
+  + 256 * (5 * n_exclamations > n_words)::int + 512 * (4 * n_digits > word_chars)::int as failed from m)
+select *, failed & 3 <> 0 as base_failed, failed = 0 as kept from f
+"""
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(odd).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.examples(rows)).drop("conv_key")
+
+
+ORACLE["op9_chat_formatting"] = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+  values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, row_number() over w as i, count(*) over (partition by conv_id) as n,
+  length(regexp_replace(text, '([<\[])(~*)(/?)(s>|INST\])', '\1~\2\3\4', 'g'))
+  + case when role = 'assistant' then 4 else 16 + length(role) end as size from t window w as (partition by conv_id order by turn, role, text)),
+c as (select *, sum(size) over (partition by conv_id order by i) as upto from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(upto) filter (role = 'assistant' or i = n)::bigint as formatted_chars
+from c group by conv_id
+"""
+
+
 def registered() -> dict[str, Query]:
     return dict(QUERIES)
 
