@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import chat, quality, url_filter
+from stayrate.llm import chat, line_dedup, packing, quality, url_filter
 from stayrate.llm.common import Query, table
 
 #: The rules of the url query: host, path, action.
@@ -85,6 +85,32 @@ select *, failed & 3 <> 0 as base_failed, failed = 0 as kept from f
 """
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before, lines dropped and digest of the text that stays, for every document."""
+    cut = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op6_line_dedup"] = r"""
+with t as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from t),
+bad as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+m as (select k.*, b.key is not null as gone from k left join bad b using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in windows of 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
