@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import chat, line_dedup, packing, quality, url_filter
+from stayrate.llm import chat, lang_id, line_dedup, lm_score, packing, quality, url_filter
 from stayrate.llm.common import Query, table
 
 #: The rules of the url query: host, path, action.
@@ -111,6 +111,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    rows = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return lang_id.predict(rows, lang_id.train(rows, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and scores of every document by what the rows that are not held out teach."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return lm_score.score(rows, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""

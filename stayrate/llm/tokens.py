@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,11 @@ import pyarrow.compute as pc
 #: A slice of a batch ends at so many rows or characters, but holds one row at least.
 SLICE_ROWS = 2000
 SLICE_BYTES = 8_000_000
+#: A word of plain characters is cut like the tokenizer cuts it, so that words share their parts.
+_PLAIN = re.compile("[!-~\u00c0-\u017f]+")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+#: Parts per call of the tokenizer.
+_PER_CALL = 1000
 #: Distinct words whose ids are remembered; beyond, the memory is emptied.
 REMEMBERED = 400_000
 
@@ -57,17 +63,34 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.words: dict[str, np.ndarray] = {}
+        self.parts: dict[str, np.ndarray] = {}
 
     slices = staticmethod(slices)
 
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts. Each is one unit to the tokenizer, so a call can take many, set apart by spaces."""
+        for i in range(0, len(parts), _PER_CALL):
+            some = parts[i : i + _PER_CALL]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = np.asarray(e.ids, dtype=np.int32), np.asarray(e.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1))
+            self.parts.update((p, ids[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+
     def _ids(self, distinct: list[str]) -> list[np.ndarray]:
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, distinct
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.asarray(e.ids, dtype=np.int32)
-        return [self.known[w] for w in distinct]
+        """Ids of each distinct word; words with characters beyond the plain ones go to the tokenizer whole."""
+        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
+            self.words, self.parts = {}, {}
+        words, parts = self.words, self.parts
+        new = [w for w in distinct if w not in words]
+        cut = [_PART.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in new]
+        self._learn(list({p for c in cut if c for p in c if p not in parts}))
+        for w, c in zip(new, cut):
+            if c is None:
+                words[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.int32)
+            else:
+                words[w] = parts[c[0]] if len(c) == 1 else np.concatenate([parts[p] for p in c])
+        return [words[w] for w in distinct]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
