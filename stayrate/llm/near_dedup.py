@@ -77,10 +77,10 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         if b - a >= WORDS:
             yield np.unique(rolled[a : b - WORDS + 1])
         elif b > a:
-            value = np.uint64(b - a)
+            value = np.array([b - a], np.uint64)
             for h in hashes[a:b]:
-                value = _finish(np.atleast_1d(value * np.uint64(31) + h + _MIX))[0]
-            yield np.array([value])
+                value = _finish(value * np.uint64(31) + h + _MIX)
+            yield value
         else:
             yield np.zeros(0, np.uint64)
 
