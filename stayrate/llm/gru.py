@@ -147,7 +147,7 @@ class Reader:
         self.queue: deque[Text] = deque()
         self.lanes: list[Text | None] = [None] * LANES
         self.state = np.zeros((LANES, WIDTH), np.float32)
-        self.squares = np.full(len(net.vector), 1e-2, np.float32) if rate else None
+        self.mean, self.squares, self.steps = np.zeros_like(net.vector), np.zeros_like(net.vector), 0
         self.seen = 0
 
     def add(self, text: Text) -> Iterator[Text]:
@@ -267,7 +267,7 @@ class Reader:
         return np.where(used, logs.reshape(steps, lanes), 0.0)
 
     def _learn(self, grad: Net, down: np.ndarray, x: np.ndarray, inputs: np.ndarray, before, zs, rs, ns, hn, keep) -> None:
-        """Back through the window, whose first state is taken as given; then one step of Adagrad."""
+        """Back through the window, whose first state is taken as given; then one step of Adam."""
         net, h = self.net, WIDTH
         steps, lanes = x.shape
         back = np.zeros((lanes, h), np.float32)
@@ -296,5 +296,9 @@ class Reader:
         norm = float(np.sqrt(np.dot(grad.vector, grad.vector)))
         if norm > 1:
             grad.vector /= norm
-        self.squares += grad.vector * grad.vector
-        net.vector -= self.rate * grad.vector / np.sqrt(self.squares)
+        g = grad.vector
+        self.steps += 1
+        self.mean += 0.1 * (g - self.mean)
+        self.squares += 0.01 * (g * g - self.squares)
+        size = np.sqrt(self.squares / (1 - 0.99**self.steps)) + 1e-6
+        net.vector -= self.rate / (1 - 0.9**self.steps) * self.mean / size

@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import durable
-from stayrate.llm.gru import END, HEAD, HEAD_CLASSES, TAIL_CLASSES, Net, Reader, Vocabulary, texts_of
+from stayrate.llm.gru import END, HEAD, TAIL_CLASSES, Net, Reader, Vocabulary, tail_class, texts_of
 from stayrate.llm.tokens import REMEMBERED, slices, split_words
 
 #: Tokens whose counts every task holds.
 LEXICON = 65_536
 #: Share of the training texts that the first round reads.
 FIRST_SHARE = 8
-RATE = 0.05
+RATE = 0.005
 
 
 def _text(text_col: str) -> Column:
@@ -77,8 +77,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for r in rows:
         tokens[r["k"]], distinct[r["k"]] = r["n"], r["v"]
     n, v = int(tokens.sum()), int(distinct.sum())
-    from stayrate.llm.gru import tail_class
-
     for w, c in zip(words[:head], numbers[:head]):
         tokens[tail_class(w)] -= c
         distinct[tail_class(w)] -= 1

@@ -8,10 +8,9 @@
    classes gives n - 1 rows. Collisions per pair are counted, candidates are confirmed on full shingle
    sets, and confirmed links merge classes into groups. Each round hashes anew who leads.
 4. The rest is exact. Postings inside one group are skipped, since their pairs are linked already. A
-   class with fewer than ``MATCHES`` coordinates left cannot be linked with another group and is skipped too. The others are
-   posted under their rarest coordinates only, as many as make sure that a pair with ``MATCHES``
-   agreements meets in one (the prefix), and all pairs of different groups that meet there are candidates, if
-   a one-bit sketch of the two signatures and their set sizes allow the link.
+   class with fewer than ``MATCHES`` coordinates left cannot be linked with another group and is skipped too. The
+   others meet, each in the rarest of its shingles only, as many as make sure that a linked pair meets in one (the prefix,
+   by set size); what meets is confirmed.
 5. Components of the confirmed links are the duplicate groups.
 
 A link exactly at the threshold is missed with a probability of about 2e-5, a link at 0.8 with less
@@ -25,6 +24,7 @@ the rows it keeps, so other columns never clash. An empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -45,6 +45,8 @@ ROUNDS = 2
 #: Agreeing bits of the sketch under which a pair is not looked at: 5 deviations under the mean at 0.75.
 SKETCH_BITS = 64
 SKETCH_AGREE = 42
+#: Ratio of the bounds of a bucket of set sizes.
+SIZE_STEP = 1.05
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -241,7 +243,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         new = _confirmed(pairs, docs, classes)
         found = new if found is None else durable(found.unionByName(new))
         parts = durable(_merged(classes, found))
-    rest = _rest(shared.join(parts, "id"), sizes)
+    rest = _rest(shared.join(parts, "id"), docs, classes)
     new = _confirmed(durable(rest), docs, classes)
     return members, found.unionByName(new)
 
@@ -253,21 +255,54 @@ def _plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_small_enough("na", "nb") & (agree >= SKETCH_AGREE)).select("a", "b")
 
 
-def _rest(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different groups that can still be linked."""
-    mixed = shared.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo != hi")
-    open_rows = shared.drop("size").join(mixed.select("token", "many"), "token")
-    order = F.array_sort(F.collect_list(F.struct("many", "token")))
-    able = open_rows.groupBy("id", "part").agg(order.alias("tokens")).where(F.size("tokens") >= MATCHES)
-    able = durable(able.join(sizes, "id"))
-    prefix = able.select(
-        "id", "part", "n_shingles", "sketch", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t")
-    ).select("id", "part", "n_shingles", "sketch", F.col("t.token").alias("token"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    agree = F.lit(SKETCH_BITS) - F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part"))
+def _open_classes(shared: DataFrame) -> DataFrame:
+    """Rows (id, part) of the classes that can still be linked with another group."""
+    mixed = shared.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    left = shared.join(mixed.select("token"), "token").groupBy("id", "part").agg(F.count(F.lit(1)).alias("m"))
+    return left.where(F.col("m") >= MATCHES).select("id", "part")
+
+
+def _bucket(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+
+def _rest(shared: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different groups that can still be linked, by prefixes of their full sets.
+
+    A pair of sizes n and m shares 3 (n + m) / 7 shingles at least, so it meets in the n - 3 (n + m) / 7 + 1
+    rarest shingles of either side. Classes are posted per bucket of partner sizes; shingles inside one
+    group come first in the order and are not posted at all.
+    """
+    able = durable(_open_classes(shared))
+    sets = _set_table(able.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = np.frombuffer(v.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), i)), pa.array(hashes)], ["id", "shingle"])
+
+    rows = durable(sets.mapInArrow(run, "id bigint, shingle bigint").join(able, "id"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    order = F.array_sort(F.collect_list(F.struct("f", "shingle")))
+    met = rows.join(often.select("shingle", "f"), "shingle").groupBy("id", "part").agg(order.alias("common"))
+    sized = met.join(classes.select("id", F.col("n_shingles").alias("n")), "id").where(4 * F.size("common") >= 3 * F.col("n"))
+    partner = sized.select(
+        "*",
+        _bucket(F.col("n")).alias("own"),
+        F.explode(F.sequence(_bucket(F.floor(F.col("n") * 0.75)), _bucket(F.ceil(F.col("n") / 0.75)))).alias("other"),
+    )
+    need = F.ceil(3 * (F.col("n") + F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")))) / 7)
+    count = (F.size("common") - need + 1).cast("int")
+    posted = partner.where(count > 0).select(
+        "id", "part", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        F.explode(F.slice("common", F.lit(1), count)).alias("s"),
+    ).select("id", "part", "n", "own", "low", "high", F.col("s.shingle").alias("shingle"))
+    x, y = posted.alias("x"), posted.alias("y")
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    sides = (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))
     return (
-        x.join(y, same & _small_enough("x.n_shingles", "y.n_shingles") & (agree >= SKETCH_AGREE))
+        x.join(y, same & sides & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _small_enough("x.n", "y.n"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
