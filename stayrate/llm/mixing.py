@@ -102,8 +102,9 @@ def draws(plan: DataFrame, shard: int = SHARD, seed: int = 0) -> DataFrame:
     edges[-1] = 1.0
     u = _uniform(F.lit(seed), F.col("id"))
     # the number of edges at or under u is the source's number
-    found = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= u)) if len(edges) < 64 else _searched(edges, u)
-    slots = spark.range(total).select(F.col("id"), F.floor(F.col("id") / shard).cast("bigint").alias("shard"), found.alias("number"))
+    slots = spark.range(total).select(
+        "id", F.floor(F.col("id") / shard).cast("bigint").alias("shard"), _position(edges, u).alias("number")
+    )
     counts = durable(slots.groupBy("shard", "number").agg(F.count(F.lit(1)).alias("n")))
     upto_shard = running_totals(counts, [F.col("shard").asc()], ["n"], groups=["number"])
     before = upto_shard.select("shard", "number", (F.col("n_run") - F.col("n")).alias("before"))
@@ -132,44 +133,46 @@ def draws(plan: DataFrame, shard: int = SHARD, seed: int = 0) -> DataFrame:
     return regular.unionByName(moved)
 
 
-def _searched(edges: list[float], u: Column) -> Column:
-    """A binary decision over the edges, as a balanced tree of conditions over chunks of 32."""
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo <= 32:
-            return F.size(F.filter(F.array(*[F.lit(e) for e in edges[lo:hi]]), lambda e: e <= u)) + F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(u < edges[mid], tree(lo, mid)).otherwise(tree(mid, hi))
+def _position(edges: list[float] | list[int], value: Column) -> Column:
+    """How many of the ascending edges are at or under the value: a tree of conditions over short arrays."""
+
+    def tree(low: int, high: int) -> Column:
+        if high - low <= 32:
+            return F.size(F.filter(F.array(*[F.lit(e) for e in edges[low:high]]), lambda e: e <= value)) + F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < edges[middle], tree(low, middle)).otherwise(tree(middle, high))
 
     return tree(0, len(edges))
 
 
-def permuted(index: Column, blocks: Column, key: Column, rounds: int = 4) -> Column:
-    """Entry ``index`` of a pseudorandom permutation of 0 .. blocks - 1 that ``key`` picks.
+def permutations(plan: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows (number, pass, rank, index): for each pass over a source, its block indexes in a pseudorandom order.
 
-    Rounds of x -> (blocks - 1 - x) or swaps with a keyed partner: a swap-or-not shuffle.
+    The order is that of a hash of (seed, source, pass, index); ranks are counted over all tasks.
     """
-    x = index
-    for i in range(rounds * 6):
-        partner = F.pmod(F.pmod(F.xxhash64(key, F.lit(i)), blocks) - x, blocks)
-        high = F.greatest(x, partner)
-        x = F.when(F.xxhash64(key, F.lit(i), high).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
-    return x
+    rows = plan.where("slots > 0").orderBy("number").collect()
+    edges, starts, total = [], [], 0
+    for r in rows:
+        starts.append(total)
+        total += r["blocks"] * -(-r["slots"] // r["blocks"])
+        edges.append(total)
+    if not total:
+        return plan.sparkSession.range(0).selectExpr("cast(id as int) as number", "id as pass", "id as rank", "id as index")
+    own = F.array(*[F.struct(F.lit(r["number"]).alias("number"), F.lit(a).cast("bigint").alias("start"), F.lit(r["blocks"]).alias("blocks")) for r, a in zip(rows, starts)])
+    found = plan.sparkSession.range(total).select("id", F.get(own, _position(edges, F.col("id"))).alias("s"))
+    i = F.col("id") - F.col("s.start")
+    entries = found.select(F.col("s.number").alias("number"), F.floor(i / F.col("s.blocks")).cast("bigint").alias("pass"), (i % F.col("s.blocks")).alias("index"))
+    order = F.xxhash64(F.lit(seed), "number", "pass", "index")
+    return number_rows(entries, [order.asc(), F.col("index").asc()], groups=["number", "pass"], name="rank").withColumn("rank", F.col("rank") - 1)
 
 
 def taken_blocks(plan: DataFrame, shard: int = SHARD, seed: int = 0) -> DataFrame:
     """Rows (shard, slot, number, index, pass): which block of which source each slot of the mix holds."""
     slots = draws(plan, shard, seed).join(F.broadcast(plan.select("number", "blocks")), "number")
-    turn_pass = F.floor(F.col("turn") / F.col("blocks")).cast("bigint")
-    keyed = slots.select(
-        "shard", "slot", "number", turn_pass.alias("pass"), "blocks", F.pmod("turn", "blocks").alias("i"),
-        F.xxhash64(F.lit(seed), "number", turn_pass).alias("key"),
-    )
-    # a step at a time, so that no expression holds all rounds
-    for i in range(20):
-        keyed = keyed.withColumn("partner", F.pmod(F.pmod(F.xxhash64("key", F.lit(i)), F.col("blocks")) - F.col("i"), F.col("blocks")))
-        swap = F.xxhash64("key", F.lit(i), F.greatest("i", "partner")).bitwiseAND(F.lit(1)) == 1
-        keyed = keyed.withColumn("i", F.when(swap, F.col("partner")).otherwise(F.col("i")))
-    return keyed.select("shard", "slot", "number", F.col("i").alias("index"), "pass")
+    turns = slots.select(
+        "shard", "slot", "number", F.floor(F.col("turn") / F.col("blocks")).cast("bigint").alias("pass"), F.pmod("turn", "blocks").alias("rank")
+    )
+    return turns.join(permutations(plan, seed), ["number", "pass", "rank"]).select("shard", "slot", "number", "index", "pass")
 
 
 def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import chat, lang_id, line_dedup, lm_score, near_dedup, packing, quality, url_filter
+from stayrate.llm import chat, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter
 from stayrate.llm.common import Query, table
 
 #: The rules of the url query: host, path, action.
@@ -47,6 +47,12 @@ from u left join hit h on h.page_id = u.page_id and h.n = 1
 """
 
 
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target of every document's source and the words that the mix takes from it."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, duplicate group and whether it stays, for every document."""
