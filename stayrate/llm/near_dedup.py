@@ -6,7 +6,7 @@
    coordinates on average, with a deviation under 5; pairs that agree on ``MATCHES`` are candidates.
 3. Rounds of leaders: in every posting the classes are paired with one leader only, so a posting with n
    classes gives n - 1 rows. Collisions per pair are counted, candidates are confirmed on full shingle
-   sets, and confirmed links merge classes into groups. Each round hashes anew who leads.
+   sets, and confirmed links merge classes into groups. Each round chooses anew who leads.
 4. The rest is exact. Postings inside one group are skipped, since their pairs are linked already. A
    class with fewer than ``MATCHES`` coordinates left cannot be linked with another group and is skipped too. The
    others meet, each in the rarest of its shingles only, as many as make sure that a linked pair meets in one (the prefix,
@@ -41,7 +41,7 @@ from stayrate.llm.tokens import slices, split_words
 WORDS = 5
 COORDINATES = 128
 MATCHES = 76
-ROUNDS = 2
+ROUNDS = 5
 #: Agreeing bits of the sketch under which a pair is not looked at: 5 deviations under the mean at 0.75.
 SKETCH_BITS = 64
 SKETCH_AGREE = 42
@@ -211,9 +211,11 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 def _led(shared: DataFrame, salt: int) -> DataFrame:
     """Pairs (a, b) of a class and a posting's leader in another group, with the number of collisions.
 
-    The leader is the class with the least salted hash of its group, then of itself.
+    In the first round the class with most shared coordinates leads: the text that near copies were made
+    from shares all of its own. Later the least salted hash leads.
     """
-    rank = F.struct(F.xxhash64(F.lit(salt), "part").alias("h"), F.xxhash64(F.lit(salt), "id").alias("k"), "id", "part")
+    mine = F.xxhash64(F.lit(salt), "id")
+    rank = F.struct((-F.col("hub") if salt == 0 else mine).alias("h"), mine.alias("k"), "id", "part")
     leaders = shared.groupBy("token").agg(F.min(rank).alias("l")).select("token", F.col("l.id").alias("leader"), F.col("l.part").alias("lead"))
     met = shared.join(leaders, "token").where("part != lead")
     return met.groupBy(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -237,8 +239,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     sizes = classes.select("id", "n_shingles", "sketch")
     found: DataFrame | None = None
     parts = classes.select("id", F.col("id").alias("part"))
+    hubs = durable(shared.groupBy("id").agg(F.count(F.lit(1)).alias("hub")))
     for salt in range(ROUNDS):
-        pairs = _led(shared.join(parts, "id"), salt).where(F.col("n") >= MATCHES // 2)
+        pairs = _led(shared.join(hubs, "id").join(parts, "id"), salt).where(F.col("n") >= MATCHES // 2)
         pairs = durable(_plausible(pairs.select("a", "b"), sizes))
         new = _confirmed(pairs, docs, classes)
         found = new if found is None else durable(found.unionByName(new))
