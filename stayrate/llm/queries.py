@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import chat, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter
-from stayrate.llm.common import Query, table
+from stayrate.functions.ordering import number_rows
+from stayrate.llm import chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter
+from stayrate.llm.common import Query, table, text_or_empty
 
 #: The rules of the url query: host, path, action.
 URL_RULES = [
@@ -47,6 +48,51 @@ from u left join hit h on h.page_id = u.page_id and h.n = 1
 """
 
 
+@query
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited version, and their likenesses.
+
+    Each document asks the next one (by descending id) for the part that replaces its end, so texts are
+    shuffled once and a third of them a second time.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    size = F.length("text").cast("bigint")
+    placed = number_rows(
+        docs.select("doc_id", F.xxhash64("text").alias("mark"), size.alias("n")), [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()], total="all"
+    )
+    # equal rows share (doc_id, mark): which of them stands where makes no difference, so one text serves all
+    texts = docs.withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"])
+    own = placed.alias("p").join(
+        texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.mark") == F.col("t.mark"))
+    ).select("p.doc_id", "p.row_no", "p.n", "p.all", "t.text")
+    asks = placed.select((F.col("row_no") % F.col("all") + 1).alias("next"), F.col("row_no").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("want"))
+    own = own.withColumn("digests", fingerprint.digests(F.col("text")))
+    lent = (
+        own.select("row_no", "text", "digests")
+        .join(asks, F.col("row_no") == F.col("next"))
+        .select("asker", F.substring("text", F.lit(1), F.col("want")).alias("end"), F.col("digests").alias("next_digests"))
+    )
+    start = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
+    met = own.join(lent, F.col("row_no") == F.col("asker")).select(
+        "doc_id", "n", "digests", "next_digests", F.concat(start, F.col("end")).alias("edited")
+    )
+    met = met.select("*", fingerprint.digests(F.col("edited")).alias("edited_digests"))
+    made = met.select(
+        "*",
+        *[fingerprint.sketch(F.col(c)).alias(c.replace("digests", "sketch")) for c in ("digests", "edited_digests", "next_digests")],
+    )
+    like = lambda other: fingerprint.likeness(F.col("digests"), F.col(f"{other}_digests"), F.col("sketch"), F.col(f"{other}_sketch"))
+    return made.select(
+        "doc_id",
+        F.col("n").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.fingerprint(F.col("sketch")).alias("fingerprint"),
+        fingerprint.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        like("edited").alias("near_edited"),
+        like("next").alias("near_next"),
+    )
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target of every document's source and the words that the mix takes from it."""
