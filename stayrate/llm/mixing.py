@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import durable, number_rows, running_totals
-from stayrate.llm.common import SPACE, text_or_empty
+from stayrate.llm.common import text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
