@@ -6,10 +6,10 @@
    coordinates on average, with a deviation under 5; pairs that agree on ``MATCHES`` are candidates.
 3. Rounds of leaders: in every posting the classes are paired with one leader only, so a posting with n
    classes gives n - 1 rows. Collisions per pair are counted, candidates are confirmed on full shingle
-   sets, and confirmed links merge classes into groups. Each round chooses anew who leads.
-4. The rest is exact. Postings inside one group are skipped, since their pairs are linked already. A
-   class with fewer than ``MATCHES`` coordinates left cannot be linked with another group and is skipped too. The
-   others meet, each in the rarest of its shingles only, as many as make sure that a linked pair meets in one (the prefix,
+   sets, and confirmed links merge classes into groups. Postings inside one group are skipped from then on, since
+   their pairs are linked already; so is a class with fewer than ``MATCHES`` coordinates left, which cannot be
+   linked with another group. Each round chooses anew who leads.
+4. The rest is exact. The classes that are left meet, each in the rarest of its shingles only, as many as make sure that a linked pair meets in one (the prefix,
    by set size); what meets is confirmed.
 5. Components of the confirmed links are the duplicate groups.
 
@@ -202,28 +202,41 @@ def _small_enough(x: str, y: str) -> Column:
     return (4 * F.col(x) >= 3 * F.col(y)) & (4 * F.col(y) >= 3 * F.col(x))
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (id, part): the group of each class so far."""
-    found = components(links).withColumnRenamed("node", "id")
-    return classes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+def _joined(live: DataFrame, stars: DataFrame) -> DataFrame:
+    """The postings with the group that each class is in by now."""
+    groups_now = stars.withColumnRenamed("node", "id")
+    return live.join(groups_now, "id", "left").select("id", "token", "hub", F.coalesce("component", "id").alias("part"))
 
 
-def _led(shared: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) of a class and a posting's leader in another group, with the number of collisions.
+def _led(live: DataFrame, salt: int) -> DataFrame:
+    """The postings with classes of several groups, with a leader each.
 
     In the first round the class with most shared coordinates leads: the text that near copies were made
     from shares all of its own. Later the least salted hash leads.
     """
     mine = F.xxhash64(F.lit(salt), "id")
     rank = F.struct((-F.col("hub") if salt == 0 else mine).alias("h"), mine.alias("k"), "id", "part")
-    leaders = shared.groupBy("token").agg(F.min(rank).alias("l")).select("token", F.col("l.id").alias("leader"), F.col("l.part").alias("lead"))
-    met = shared.join(leaders, "token").where("part != lead")
-    return met.groupBy(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    leaders = live.groupBy("token").agg(F.min(rank).alias("l"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    return live.join(leaders.select("token", F.col("l.id").alias("leader"), F.col("l.part").alias("lead")), "token")
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (id, n_shingles, class_id) and confirmed links (a, b) between classes."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+def _collisions(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class and a posting's leader in another group, with the number of collisions."""
+    apart = met.where("part != lead")
+    return apart.groupBy(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _enough(postings_left: DataFrame, name: str = "m") -> DataFrame:
+    """Rows (id, m) of the classes that have coordinates enough for a link."""
+    return postings_left.groupBy("id").agg(F.count(F.lit(1)).alias(name)).where(F.col(name) >= MATCHES)
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (id, text): documents (id, n_shingles, class_id), confirmed links (a, b) between classes, and their groups (node, component).
+
+    Groups only grow, so a posting inside one group and a class with too few other postings are done
+    with for good: each round reads only what the round before left.
+    """
     seen = durable(profiles(docs))
     rows = seen.groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n_shingles")).alias("s")).select("id", "s.*")
     leads = rows.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("class_id"))
@@ -234,21 +247,37 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     classes = durable(seen.join(own, ["id", "set_a", "set_b"]).dropDuplicates(["id"]))
     posted = postings(classes)
     counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = durable(posted.join(counted, "token"))
+    shared = durable(posted.join(counted.select("token"), "token"))
 
     sizes = classes.select("id", "n_shingles", "sketch")
-    found: DataFrame | None = None
-    parts = classes.select("id", F.col("id").alias("part"))
-    hubs = durable(shared.groupBy("id").agg(F.count(F.lit(1)).alias("hub")))
+    live = durable(shared.join(_enough(shared, "hub"), "id").select("id", "token", "hub", F.col("id").alias("part")))
+    found = stars = None
     for salt in range(ROUNDS):
-        pairs = _led(shared.join(hubs, "id").join(parts, "id"), salt).where(F.col("n") >= MATCHES // 2)
+        met = durable(_led(live, salt))
+        pairs = _collisions(met).where(F.col("n") >= MATCHES // 2)
         pairs = durable(_plausible(pairs.select("a", "b"), sizes))
         new = _confirmed(pairs, docs, classes)
-        found = new if found is None else durable(found.unionByName(new))
-        parts = durable(_merged(classes, found))
-    rest = _rest(shared.join(parts, "id"), docs, classes)
-    new = _confirmed(durable(rest), docs, classes)
-    return members, found.unionByName(new)
+        stars = components(new if stars is None else _edges(stars).unionByName(new))
+        found = new if found is None else found.unionByName(new)
+        live = durable(_joined(met.join(_enough(met), "id", "left_semi"), stars))
+        if live.isEmpty():
+            return members, found, stars
+    new = _confirmed(durable(_rest(live, docs, classes)), docs, classes)
+    return members, found.unionByName(new), components(_edges(stars).unionByName(new))
+
+
+def _edges(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents (id, n_shingles, class_id) and confirmed links (a, b) between classes."""
+    members, found, _ = _linked(_documents(docs, id_col, text_col))
+    return members, found
 
 
 def _plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -261,8 +290,8 @@ def _plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def _open_classes(shared: DataFrame) -> DataFrame:
     """Rows (id, part) of the classes that can still be linked with another group."""
     mixed = shared.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-    left = shared.join(mixed.select("token"), "token").groupBy("id", "part").agg(F.count(F.lit(1)).alias("m"))
-    return left.where(F.col("m") >= MATCHES).select("id", "part")
+    left = shared.join(mixed.select("token"), "token", "left_semi")
+    return _enough(left).select("id").join(shared.select("id", "part").distinct(), "id")
 
 
 def _bucket(size: Column) -> Column:
@@ -313,8 +342,7 @@ def _rest(shared: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable) and kept (it is the smallest)."""
-    members, found = links(docs, id_col, text_col)
-    parts = components(found)
+    members, _, parts = _linked(_documents(docs, id_col, text_col))
     joined = members.join(parts.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     group = F.coalesce("component", "class_id")
     return joined.select(
