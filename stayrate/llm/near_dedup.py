@@ -157,14 +157,15 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "token bigint, id bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union.
 
-    Only the texts of documents in a pair are read; their sets are written once.
+    Only the sets of classes in a pair go into the joins.
     """
-    sets = _set_table(pairs, docs, classes)
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    paired = sets.join(ids, "id", "left_semi")
+    left = paired.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    right = paired.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +180,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return durable(met.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _set_table(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (id, hashes) of the classes in the pairs."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _set_table(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (id, hashes) of the classes with these ids. Texts are read once for it, and the table is written once."""
     wanted = classes.select("id", "set_a", "set_b").join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +250,21 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = durable(posted.join(counted.select("token"), "token"))
 
     sizes = classes.select("id", "n_shingles", "sketch")
-    live = durable(shared.join(_enough(shared, "hub"), "id").select("id", "token", "hub", F.col("id").alias("part")))
+    able = durable(_enough(shared, "hub"))
+    sets = _set_table(able.select("id"), docs, classes)
+    live = durable(shared.join(able, "id").select("id", "token", "hub", F.col("id").alias("part")))
     found = stars = None
     for salt in range(ROUNDS):
         met = durable(_led(live, salt))
         pairs = _collisions(met).where(F.col("n") >= MATCHES // 2)
         pairs = durable(_plausible(pairs.select("a", "b"), sizes))
-        new = _confirmed(pairs, docs, classes)
+        new = _confirmed(pairs, sets)
         stars = components(new if stars is None else _edges(stars).unionByName(new))
         found = new if found is None else found.unionByName(new)
         live = durable(_joined(met.join(_enough(met), "id", "left_semi"), stars))
         if live.isEmpty():
             return members, found, stars
-    new = _confirmed(durable(_rest(live, docs, classes)), docs, classes)
+    new = _confirmed(durable(_rest(live, sets, classes)), sets)
     return members, found.unionByName(new), components(_edges(stars).unionByName(new))
 
 
@@ -298,7 +300,7 @@ def _bucket(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def _rest(shared: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs (a, b) of different groups that can still be linked, by prefixes of their full sets.
 
     A pair of sizes n and m shares 3 (n + m) / 7 shingles at least, so it meets in the n - 3 (n + m) / 7 + 1
@@ -306,7 +308,6 @@ def _rest(shared: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     group come first in the order and are not posted at all.
     """
     able = durable(_open_classes(shared))
-    sets = _set_table(able.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,7 +315,8 @@ def _rest(shared: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                 hashes = np.frombuffer(v.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), i)), pa.array(hashes)], ["id", "shingle"])
 
-    rows = durable(sets.mapInArrow(run, "id bigint, shingle bigint").join(able, "id"))
+    left = sets.join(able.select("id"), "id", "left_semi")
+    rows = durable(left.mapInArrow(run, "id bigint, shingle bigint").join(able, "id"))
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
     order = F.array_sort(F.collect_list(F.struct("f", "shingle")))
     met = rows.join(often.select("shingle", "f"), "shingle").groupBy("id", "part").agg(order.alias("common"))
