@@ -8,16 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.common import safe_div
 from stayrate.functions.ordering import exact_quantiles, number_rows, running_totals
 from stayrate.functions.rules import CALIBRATION_BINS, RANKING_K, THRESHOLD_QUANTILES
 
-# up to this many rows a top-k is taken with Spark's bounded top-k operator
-TOP_K_LIMIT = 10_000
-
 
 def score_counts(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = ()) -> DataFrame:
     """Rows and positives per distinct score."""
@@ -99,9 +96,6 @@ def expected_calibration_error(df: DataFrame, y: str = "y", p: str = "p", bins:
 def ranked_top(df: DataFrame, k: int, p: str, key: str) -> DataFrame:
     """The k best rows with their position, ties by key."""
     order = [F.col(p).desc(), F.col(key).asc()]
-    if k <= TOP_K_LIMIT:
-        top = df.orderBy(*order).limit(k)
-        return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     return number_rows(df, order, name="rank").where(F.col("rank") <= k)
 
 
@@ -112,7 +106,7 @@ def ranking_at_k(
     whole = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos")).first()
     n, pos = whole["n"], whole["pos"] or 0
     cuts = [(int(k), min(max(int(k), 1), n)) for k in ks]
-    top = ranked_top(df, max(c for _, c in cuts), p, key)
+    top = ranked_top(df.select(*dict.fromkeys((key, p, y))), max(c for _, c in cuts), p, key)
     hits = [
         F.coalesce(F.sum(F.when(F.col("rank") <= c, F.col(y).cast("bigint"))), F.lit(0)).alias(f"h{i}")
         for i, (_, c) in enumerate(cuts)

@@ -197,7 +197,7 @@ def weekly_tickets(contacts: DataFrame, p: Params) -> DataFrame:
     day = F.to_date("creation_timestamp")
     rows = contacts.where(
         all_of(
-            in_country(p.country),
+            in_country(p.country_of("contacts")),
             F.col("sat_score").isNotNull(),
             F.col("stakeholder_id").isNotNull(),
             _window(day, p),
@@ -220,7 +220,7 @@ def created_tickets(tickets: DataFrame, p: Params) -> DataFrame:
     return flat.where(
         all_of(
             F.col("ts") > F.lit(p.start),
-            in_country(p.country, "entity"),
+            in_country(p.country_of("tickets"), "entity"),
             F.col("action") == "Create",
             F.col("rider_id").isNotNull(),
         )

@@ -17,6 +17,10 @@ class Params:
 
     ``period='week'`` gives Monday weeks. The other units run the same operators on a coarser or
     finer time axis.
+
+    ``country`` keeps the rows of one country. Sources that write its code in their own way (``contacts``,
+    ``tickets``, ``applicants``) have it in ``country_codes`` as pairs of source and code. ``label`` is what the
+    results call the country.
     """
 
     as_of: date
@@ -25,6 +29,8 @@ class Params:
     period: str = "week"
     n_periods: int = 8
     country: str | None = None
+    country_codes: tuple[tuple[str, str], ...] = ()
+    label: str | None = None
     slot_states: tuple[str, ...] = SLOT_STATES
     newbie_days: int = 30
     churn_days: int = 14
@@ -44,5 +50,13 @@ class Params:
         if self.n_periods < 1:
             raise ValueError("n_periods must be positive")
 
+    def country_of(self, source: str) -> str | None:
+        """The code of the country in a source."""
+        return None if self.country is None else dict(self.country_codes).get(source, self.country)
+
+    @property
+    def country_label(self) -> str:
+        return self.label or self.country or "ALL"
+
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

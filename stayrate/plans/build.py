@@ -52,7 +52,7 @@ def prepare(src: Sources, p: Params, keep: bool = True, calendar: DataFrame | No
         ).drop("anchor_week"),
         inputs,
     )
-    return Prepared(anchor, inputs, weekly.acquisition_source(src.applicants, p.country), combined)
+    return Prepared(anchor, inputs, weekly.acquisition_source(src.applicants, p.country_of("applicants")), combined)
 
 
 def feature_table(src: Sources, p: Params, keep: bool = True, calendar: DataFrame | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def feature_table(src: Sources, p: Params, keep: bool = True, calendar: DataFram
         p,
     )
     dates = activity.entity_dates(src.attributes)
-    history = features.rider_history(ready.combined, p.country or "ALL")
+    history = features.rider_history(ready.combined, p.country_label)
     return features.pivot_features(history, dates, ready.applications, early)
 
 
@@ -80,7 +80,7 @@ def history_table(
     It has the weekly and stable columns of the feature table, at any depth.
     """
     ready = prepare(src, p, calendar=calendar)
-    history = features.rider_history(ready.combined, p.country or "ALL", metrics)
+    history = features.rider_history(ready.combined, p.country_label, metrics)
     return durable(
         history.select(
             "rider_id",

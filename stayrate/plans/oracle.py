@@ -134,6 +134,14 @@ add(
     "i:churned_riders_in_timeframe",
     "(SELECT COUNT(DISTINCT rider_id) AS churned_riders_in_timeframe FROM s WHERE is_churned = 1)",
 )
+# riders are dealt over three countries by their number
+IN_ONE = "CAST(rider_id AS BIGINT) % 3 = 1"
+add(
+    "snapshot_country",
+    with_(*BASE, s=snapshot_cte("week", 30)),
+    "rider_id segment d:start_week_of_tenure i:tenure_days d:week_of_churn i:days_since_last_slot i:is_churned i:churn",
+    f"(SELECT *, is_churned AS churn FROM s WHERE {IN_ONE})",
+)
 add("eligible_riders", with_("ol", "done", "elig"), "rider_id", "elig")
 add(
     "churned_riders",
@@ -383,6 +391,15 @@ REASONS = f"""SELECT rider_id, {start_of('week', 'moved')} AS week, {_LABEL} AS
 add("ticket_reasons", with_("ev", t=REASONS), "rider_id d:week contact_reason_code i:ticket_count", "t")
 
 
+add(
+    "weekly_tickets_country",
+    with_("ev", t=tickets_cte("week", f"AND {IN_ONE}")),
+    "rider_id d:week i:contacts_total_tickets r:avg_sat_score",
+    "t",
+)
+add("ticket_reasons_country", with_("ev", t=REASONS), "rider_id d:week contact_reason_code i:ticket_count", f"(SELECT * FROM t WHERE {IN_ONE})")
+
+
 def violations_cte(unit: str) -> str:
     return f"""SELECT rider_id, week, COUNT(DISTINCT event_id) AS compliance_total_violations,
         COUNT(DISTINCT t) AS compliance_distinct_violation_types FROM (
@@ -424,6 +441,13 @@ APPLICATIONS = """SELECT rider_id, MIN(CAST(moved AS DATE)) AS registration_date
     FROM ev WHERE event_type = 'signup' GROUP BY 1"""
 add("acquisition_source", with_("ev", s=APPLICATIONS), "rider_id d:registration_date utm_source", "s")
 
+add(
+    "acquisition_source_country",
+    with_("ev", s=APPLICATIONS),
+    "rider_id d:registration_date utm_source",
+    f"(SELECT * FROM s WHERE {IN_ONE})",
+)
+
 _HOLIDAY_DAYS = ", ".join(f"'{d}'" for d in FIXED_HOLIDAYS)
 
 
@@ -575,6 +599,8 @@ add(
           ON y.rider_id = x.rider_id
         LEFT JOIN attrs ON attrs.rider_id = x.rider_id LEFT JOIN s ON s.rider_id = x.rider_id LEFT JOIN e ON e.rider_id = x.rider_id)""",
 )
+_OF_ONE = CTES["elig"] + f" AND {IN_ONE}"
+_SQL["pivot_features_country"] = _SQL["pivot_features"].replace(f"elig AS ({CTES['elig']})", f"elig AS ({_OF_ONE})").replace("'ALL'", "'one'")
 
 HISTORY_METRICS = ("total_orders_cpo", "total_earnings", "no_shows")
 _AGE = "(date_diff('month', date_trunc('quarter', o_orderdate), DATE '2001-07-01') // 3)"

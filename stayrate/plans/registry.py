@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +24,12 @@ from stayrate.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 
 WEEK = Params(as_of=date(2001, 8, 1), start=date(1995, 1, 1), history_start=None, churn_days=180)
+# One of the countries among which the riders are dealt, with its code in each source.
+ONE = {
+    "country": "m1",
+    "country_codes": tuple((s, c.format(1)) for s, c in (("contacts", roles.CONTACT_CODE), ("tickets", roles.TICKET_CODE), ("applicants", roles.APPLICANT_CODE))),
+    "label": "one",
+}
 QUARTER = WEEK.but(period="quarter", newbie_days=2250, early_lookback_days=None)
 
 _REGISTRY: dict[str, Query] = {}
@@ -82,6 +87,17 @@ def activity_snapshot(star):
     return activity.activity_snapshot(roles.orders_nested(star), roles.slots(star), WEEK)
 
 
+def _dealt(star: roles.Star) -> roles.Star:
+    """The same tables with riders of several countries."""
+    return roles.Star(star.spark, star.folder, split=True)
+
+
+@query
+def snapshot_country(star):
+    star = _dealt(star)
+    return activity.activity_snapshot(roles.orders_nested(star), roles.slots(star), WEEK.but(**ONE))
+
+
 @query
 def churned_count(star):
     snapshot = activity.activity_snapshot(roles.orders_nested(star), roles.slots(star), WEEK)
@@ -244,6 +260,16 @@ def ticket_reasons(star):
     return weekly.ticket_reasons(roles.ticket_stream(star), WEEK)
 
 
+@query
+def weekly_tickets_country(star):
+    return weekly.weekly_tickets(roles.contacts(_dealt(star)), WEEK.but(**ONE))
+
+
+@query
+def ticket_reasons_country(star):
+    return weekly.ticket_reasons(roles.ticket_stream(_dealt(star)), WEEK.but(**ONE))
+
+
 @query
 def weekly_violations(star):
     return _among(star, weekly.weekly_violations(roles.compliance(star), WEEK))
@@ -271,6 +297,11 @@ def acquisition_source(star):
     return weekly.acquisition_source(roles.applicants(star))
 
 
+@query
+def acquisition_source_country(star):
+    return weekly.acquisition_source(roles.applicants(_dealt(star)), WEEK.but(**ONE).country_of("applicants"))
+
+
 @query
 def holiday_weeks(star):
     return weekly.holiday_weeks(roles.order_day_calendar(star), WEEK)
@@ -309,6 +340,12 @@ def pivot_features(star):
     return _wide(star)
 
 
+@query
+def pivot_features_country(star):
+    star = _dealt(star)
+    return build.feature_table(roles.sources(star), QUARTER.but(**ONE), calendar=roles.order_day_calendar(star))
+
+
 def _some(wide: DataFrame, *metrics: str) -> DataFrame:
     return wide.select("rider_id", *[f"{m}_W{k}" for m in metrics for k in range(8)])
 
@@ -768,14 +805,9 @@ def ml_importance(star):
 
 @query
 def rolling_backtest(star):
+    """All periods of the panel as folds."""
     rows = durable(_panel(star, derive=False))
-    late = panel.weeks_of(rows)[-6:]
-    return ml.rolling_backtest(
-        rows,
-        lambda: LogisticRegression(maxIter=10, weightCol=ml.WEIGHT, labelCol=ml.LABEL, featuresCol="features"),
-        "logistic_regression",
-        weeks=late,
-    )
+    return ml.rolling_backtest(rows, lambda: ml.candidate_models()["logistic_regression"], "logistic_regression")
 
 
 @query

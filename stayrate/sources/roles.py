@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 from stayrate.functions.rules import REASON_LABELS
 
 COUNTRY = "ALL"
+# Riders are dealt over so many countries where a query asks for one of them; three sources write the codes in their own way.
+COUNTRIES = 3
+CONTACT_CODE, TICKET_CODE, APPLICANT_CODE = "M{}", "AB_M{}", "M{}"
 
 # Moves the events of January 2024 next to the last orders; 8218 days are whole weeks.
 EVENT_SHIFT_DAYS = 8218
@@ -52,10 +55,11 @@ class Sources:
 
 
 class Star:
-    """The tables of one folder."""
+    """The tables of one folder. With ``split`` the riders belong to several countries, whose codes differ by source."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, split: bool = False):
         self.spark = spark
+        self.split = split
         self.folder = folder.rstrip("/")
         self._schemas: dict[str, StructType] = {}
 
@@ -92,6 +96,14 @@ class Star:
         )
 
 
+def _country(star: Star, rider: str, form: str = "m{}") -> Column:
+    """The code of a rider's country as a source writes it."""
+    if not star.split:
+        return F.lit(COUNTRY)
+    ahead, after = form.split("{}")
+    return F.concat(F.lit(ahead), (F.col(rider).cast("bigint") % COUNTRIES).cast("string"), F.lit(after))
+
+
 def _rider() -> Column:
     return F.col("o_custkey").cast("string")
 
@@ -110,7 +122,7 @@ def orders_nested(star: Star) -> DataFrame:
     both = F.array(delivery(F.col("l_linenumber") == 1), delivery(F.lit(False)))
     size = F.when(F.col("l_quantity") < 2, 0).when(F.col("l_quantity") > 40, 2).otherwise(1)
     return star.order_lines().select(
-        F.lit(COUNTRY).alias("country_code"),
+        _country(star, "o_custkey").alias("country_code"),
         F.to_date("o_orderdate").alias("created_date"),
         F.slice(both, F.lit(1), size).alias("deliveries"),
     )
@@ -132,7 +144,7 @@ def slots(star: Star) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "EVALUATED").when(F.col("o_orderstatus") == "O", "PUBLISHED").otherwise("OTHER")
     )
     return star.table("orders").select(
-        F.lit(COUNTRY).alias("country_code"),
+        _country(star, "o_custkey").alias("country_code"),
         _rider().alias("rider_id"),
         F.to_date("o_orderdate").alias("created_date"),
         F.col("o_orderdate").alias("shift_start_at"),
@@ -148,7 +160,7 @@ def daily_kpi(star: Star) -> DataFrame:
         star.order_lines()
         .join(star.homes(), F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.lit(COUNTRY).alias("country_code"),
+            _country(star, "o_custkey").alias("country_code"),
             _rider().alias("rider_id"),
             F.col("n_name").alias("city_name"),
             F.col("c_mktsegment").alias("vehicle_name"),
@@ -165,7 +177,7 @@ def daily_kpi(star: Star) -> DataFrame:
 def deliveries(star: Star) -> DataFrame:
     day = F.to_date("o_orderdate")
     return star.order_lines().select(
-        F.lit(COUNTRY).alias("country_code"),
+        _country(star, "o_custkey").alias("country_code"),
         _rider().alias("rider_id"),
         F.col("l_orderkey").alias("order_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("delivery_id"),
@@ -194,7 +206,7 @@ def payments(star: Star) -> DataFrame:
         star.table("orders")
         .join(star.homes(), F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.lit(COUNTRY).alias("country_code"),
+            _country(star, "o_custkey").alias("country_code"),
             F.col("o_orderkey").alias("global_order_id"),
             F.col("n_name").alias("city_code"),
             F.when(status == "F", "DeliveredStatus")
@@ -213,7 +225,7 @@ def payments(star: Star) -> DataFrame:
 
 def contacts(star: Star) -> DataFrame:
     return star.events().select(
-        F.lit(COUNTRY).alias("country_code"),
+        _country(star, "rider_id", CONTACT_CODE).alias("country_code"),
         F.col("rider_id").alias("stakeholder_id"),
         F.col("at").alias("creation_timestamp"),
         F.when(F.col("k") % 10 != 0, F.col("value")).alias("sat_score"),
@@ -227,14 +239,14 @@ def reason_code(k: Column) -> Column:
 
 
 def ticket_stream(star: Star) -> DataFrame:
-    return star.events().select(F.col("at").alias("timestamp"), ticket_content().alias("content"))
+    return star.events().select(F.col("at").alias("timestamp"), ticket_content(_country(star, "rider_id", TICKET_CODE)).alias("content"))
 
 
-def ticket_content() -> Column:
+def ticket_content(entity: Column | None = None) -> Column:
     return F.struct(
         F.col("rider_id"),
         reason_code(F.col("k")).alias("contact_reason_code"),
-        F.lit(COUNTRY).alias("global_entity_id"),
+        (F.lit(COUNTRY) if entity is None else entity).alias("global_entity_id"),
         F.when(F.col("event_type") == "view", "Update").otherwise("Create").alias("action"),
     )
 
@@ -259,7 +271,7 @@ def compliance(star: Star) -> DataFrame:
         star.events()
         .where(F.col("event_type") == "error")
         .select(
-            F.lit(COUNTRY).alias("country_code"),
+            _country(star, "rider_id").alias("country_code"),
             "rider_id",
             F.col("at").alias("created_at"),
             F.to_date("at").alias("created_date"),
@@ -275,7 +287,7 @@ def applicants(star: Star) -> DataFrame:
         star.events()
         .where(F.col("event_type") == "signup")
         .select(
-            F.lit(COUNTRY).alias("country_code"),
+            _country(star, "rider_id", APPLICANT_CODE).alias("country_code"),
             "rider_id",
             F.col("at").alias("created_at"),
             F.struct(F.struct(source.alias("source")).alias("utm")).alias("custom_non_pii_fields"),

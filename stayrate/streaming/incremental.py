@@ -20,17 +20,17 @@ MONDAY = "4 days"
 BATCH = "batch_no"
 
 
-def ticket_counts(tickets: DataFrame, late: str = "7 days") -> DataFrame:
-    """Tickets per Monday week, rider and reason. Tickets later than the watermark are left out."""
+def ticket_counts(tickets: DataFrame, late: str | None = None) -> DataFrame:
+    """Tickets per Monday week, rider and reason. All tickets count, however late, unless ``late`` sets a watermark."""
     flat = tickets.select(
         F.col("timestamp").cast("timestamp").alias("ts"),
         F.col("content.rider_id").cast("string").alias("rider_id"),
         reason_label(F.col("content.contact_reason_code")).alias("contact_reason_code"),
         F.col("content.action").alias("action"),
     ).where((F.col("action") == "Create") & F.col("rider_id").isNotNull())
+    rows = flat if late is None else flat.withWatermark("ts", late)
     return (
-        flat.withWatermark("ts", late)
-        .groupBy(F.window("ts", "7 days", startTime=MONDAY), "rider_id", "contact_reason_code")
+        rows.groupBy(F.window("ts", "7 days", startTime=MONDAY), "rider_id", "contact_reason_code")
         .agg(F.count(F.lit(1)).alias("ticket_count"))
         .select(F.to_date("window.start").alias("week"), "rider_id", "contact_reason_code", "ticket_count")
     )

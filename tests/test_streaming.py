@@ -31,13 +31,13 @@ def test_counts_grow_across_runs(spark):
         ("2026-05-11", "r1", "unknown"): 2,
         ("2026-05-11", "r2", "zz"): 1,
     }
-    # a ticket older than the watermark is left out once the watermark has passed
+    # a ticket that comes long after its week still counts
     tickets(spark, [(datetime(2026, 6, 20), "r3", "zz")]).write.mode("append").parquet(inbox)
     incremental.run_available(incremental.ticket_counts(spark.readStream.schema(TICKETS).parquet(inbox)), state, progress)
     tickets(spark, [(datetime(2026, 5, 4, 2), "r1", "15A.1")]).write.mode("append").parquet(inbox)
     incremental.run_available(incremental.ticket_counts(spark.readStream.schema(TICKETS).parquet(inbox)), state, progress)
     now = incremental.current_state(spark, state, keys, "ticket_count").where((F.col("rider_id") == "r1") & (F.col("contact_reason_code") == "address_change"))
-    assert now.first()["ticket_count"] == 2
+    assert now.first()["ticket_count"] == 3
 
 
 def test_last_activity(spark):
