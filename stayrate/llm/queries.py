@@ -52,30 +52,35 @@ from u left join hit h on h.page_id = u.page_id and h.n = 1
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited version, and their likenesses.
 
-    Each document asks the next one (by descending id) for the part that replaces its end, so texts are
-    shuffled once and a third of them a second time.
+    Each text asks the next one (by descending id) for the part that replaces its end. Texts are shuffled once by id and
+    hash; from then on only the lent parts move. Equal rows are one text with a number of copies: the last copy asks
+    the next text, the others ask the text itself.
     """
+    key = ["id", "mark"]
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    docs = docs.select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("mark"))
     size = F.length("text").cast("bigint")
-    placed = number_rows(
-        docs.select("doc_id", F.xxhash64("text").alias("mark"), size.alias("n")), [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()], total="all"
-    )
-    # equal rows share (doc_id, mark): which of them stands where makes no difference, so one text serves all
-    texts = docs.withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"])
-    own = placed.alias("p").join(
-        texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.mark") == F.col("t.mark"))
-    ).select("p.doc_id", "p.row_no", "p.n", "p.all", "t.text")
-    asks = placed.select((F.col("row_no") % F.col("all") + 1).alias("next"), F.col("row_no").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("want"))
-    own = own.withColumn("digests", fingerprint.digests(F.col("text")))
-    lent = (
-        own.select("row_no", "text", "digests")
-        .join(asks, F.col("row_no") == F.col("next"))
-        .select("asker", F.substring("text", F.lit(1), F.col("want")).alias("end"), F.col("digests").alias("next_digests"))
-    )
-    start = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
-    met = own.join(lent, F.col("row_no") == F.col("asker")).select(
-        "doc_id", "n", "digests", "next_digests", F.concat(start, F.col("end")).alias("edited")
-    )
+    distinct = docs.select("doc_id", *key, size.alias("n")).groupBy("doc_id", *key, "n").agg(F.count(F.lit(1)).alias("copies"))
+    placed = number_rows(distinct, [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()], total="all")
+    askers = placed.select(
+        (F.col("row_no") % F.col("all") + 1).alias("next"), F.col("id").alias("a_id"), F.col("mark").alias("a_mark"),
+        F.col("n").alias("a_n"), "copies",
+    )
+    asks = placed.select(*key, F.col("row_no").alias("next")).join(askers, "next").drop("next")
+    texts = docs.dropDuplicates(key).select("doc_id", *key, "text")
+    third = lambda n: F.floor(F.col(n) / 3).cast("int")
+    lent = texts.join(asks, key).select(
+        F.col("a_id").alias("id"), F.col("a_mark").alias("mark"), F.col("a_n").alias("n"), "copies",
+        F.substring("text", F.lit(1), third("a_n")).alias("end"), fingerprint.digests(F.col("text")).alias("lent_digests"),
+    )
+    own = texts.join(lent, key).select("*", fingerprint.digests(F.col("text")).alias("digests"))
+    part = lambda end, of, times: F.struct(end.alias("end"), of.alias("next_digests"), times.alias("times"))
+    last = part(F.col("end"), F.col("lent_digests"), F.lit(1).cast("bigint"))
+    others = part(F.substring("text", F.lit(1), third("n")), F.col("digests"), F.col("copies") - 1)
+    start = F.substring("text", F.lit(1), (F.col("n") - third("n")).cast("int"))
+    parts = F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))
+    met = own.select("doc_id", "n", "digests", start.alias("start"), parts.alias("parts"))
+    met = met.select("doc_id", "n", "digests", "start", F.inline("parts")).select("doc_id", "n", "digests", "next_digests", "times", F.concat("start", "end").alias("edited"))
     met = met.select("*", fingerprint.digests(F.col("edited")).alias("edited_digests"))
     made = met.select(
         "*",
@@ -90,7 +95,8 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         like("edited").alias("near_edited"),
         like("next").alias("near_next"),
-    )
+        F.sequence(F.lit(1).cast("bigint"), F.col("times")).alias("__each"),
+    ).withColumn("__each", F.explode("__each")).drop("__each")
 
 
 @query
