@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from stayrate.llm.common import SPACE, let, text_or_empty, words
 
 WINDOW = 5
+#: Lines from which repeated lines are judged by their characters, and words from which digits are judged: a repeated
+#: header among three lines, or a phone number in one sentence, says nothing about a text.
+LEAST_LINES = 5
+LEAST_WORDS = 50
 
 #: Rules in bit order: name and SQL condition for failure over the measurements.
 RULES: list[tuple[str, str]] = [
@@ -31,6 +35,8 @@ RULES: list[tuple[str, str]] = [
     ("shouting", "2 * n_capitals > n_letters"),
     ("exclamations", "5 * n_exclamations > n_words"),
     ("digits", "4 * n_digits > word_chars"),
+    ("duplicate_text", f"n_lines >= {LEAST_LINES} and 10 * dup_line_chars > 3 * line_chars"),
+    ("many_digits", f"n_words >= {LEAST_WORDS} and 4 * n_digits > word_chars"),
 ]
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
@@ -39,17 +45,25 @@ def mask_of(*names: str) -> int:
     return sum(BITS[n] for n in names)
 
 
-#: Versioned policies: the bits that reject a document.
+_V2 = (
+    "few_words", "repeated_words", "symbols", "duplicate_lines", "short_words", "long_words", "few_letters", "shouting",
+    "exclamations", "digits",
+)
+#: Versioned policies: the bits that reject a document. v3 weighs repeated lines by their characters, and digits only in longer texts.
 POLICIES: dict[str, int] = {
     "v1": mask_of("few_words", "repeated_words"),
-    "v2": mask_of(*BITS),
+    "v2": mask_of(*_V2),
+    "v3": mask_of(*[n for n in _V2 if n not in ("duplicate_lines", "digits")], "duplicate_text", "many_digits"),
 }
 BASE = POLICIES["v1"]
+CURRENT = "v3"
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals",
     "n_exclamations", "n_digits",
 )
+#: Characters in all lines, and in lines that repeat an earlier one.
+LINE_MEASURES = ("line_chars", "dup_line_chars")
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -95,8 +109,15 @@ def _measured(docs: DataFrame) -> DataFrame:
     word_facts = let(
         tokens, lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"))
     )
+    chars = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda n, line: n + F.length(line))
     line_facts = let(
-        lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
+        let(lines, lambda x: F.struct(x.alias("all"), F.array_distinct(x).alias("once"))),
+        lambda x: F.struct(
+            F.size(x["all"]).alias("n_lines"),
+            (F.size(x["all"]) - F.size(x["once"])).alias("n_dup_lines"),
+            chars(x["all"]).alias("line_chars"),
+            (chars(x["all"]) - chars(x["once"])).alias("dup_line_chars"),
+        ),
     )
     size = F.length(text)
     facts = docs.select(
@@ -110,8 +131,9 @@ def _measured(docs: DataFrame) -> DataFrame:
         (size - _without(text, "!+")).alias("n_exclamations"),
         (size - _without(text, "[0-9]+")).alias("n_digits"),
     )
-    place = {"n_words": "__w.n_words", "n_repeat_words": "__w.n_repeat_words", "n_lines": "__l.n_lines", "n_dup_lines": "__l.n_dup_lines"}
-    return facts.select(*docs.columns, *[F.col(place.get(m, m)).cast("bigint").alias(m) for m in MEASURES])
+    place = {"n_words": "__w.n_words", "n_repeat_words": "__w.n_repeat_words"}
+    place |= {m: f"__l.{m}" for m in ("n_lines", "n_dup_lines", *LINE_MEASURES)}
+    return facts.select(*docs.columns, *[F.col(place.get(m, m)).cast("bigint").alias(m) for m in (*MEASURES, *LINE_MEASURES)])
 
 
 def failure_bits() -> Column:
@@ -125,22 +147,22 @@ def failure_bits() -> Column:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, all measurements and ``failed``, the bits of the rules that it fails."""
     measured = _measured(docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")))
-    return measured.select(F.col(id_col), *MEASURES, failure_bits().alias("failed"))
+    return measured.select(F.col(id_col), *MEASURES, *LINE_MEASURES, failure_bits().alias("failed"))
 
 
-def judged(entries: DataFrame, policy: str = "v2") -> DataFrame:
+def judged(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with ``kept`` under a policy."""
     return entries.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
-def reject(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
+def reject(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The documents that a policy keeps, with all their columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text_or_empty(text_col).alias("__text"))
     kept = _measured(rows).where(failure_bits().bitwiseAND(F.lit(POLICIES[policy])) == 0)
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
-def ablations(entries: DataFrame, policy: str = "v2") -> DataFrame:
+def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """One row per rule of a policy: documents that fail it, that fail it alone, and that stay without it.
 
     Only the counts per distinct mask (two to the number of rules at most) are looked at.

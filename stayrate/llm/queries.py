@@ -113,12 +113,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every document with the verdict of the current policy."""
-    entries = quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+    """The ledger of every document with the bits and the verdict of policy v2."""
+    entries = quality.judged(quality.ledger(table(spark, sf_dir, "documents")), "v2")
     return entries.select(
         "doc_id",
         *quality.MEASURES,
-        "failed",
+        F.col("failed").bitwiseAND(F.lit(quality.POLICIES["v2"])).alias("failed"),
         (F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0).alias("base_failed"),
         "kept",
     )
