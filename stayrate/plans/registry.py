@@ -394,6 +394,25 @@ def labelled_cross_section(star):
     return features.labelled_cross_section(_order_history(star), snapshot)
 
 
+@query
+def per_order_all(star):
+    """Per-order measures over all families of the feature table."""
+    return features.per_order_features(_wide_all(star))
+
+
+@query
+def wow_trends_all(star):
+    """Trends of all families of the feature table."""
+    return features.wow_trends(_wide_all(star))
+
+
+@query
+def labelled_cross_section_all(star):
+    snapshot = activity.activity_snapshot(roles.orders_nested(star), roles.slots(star), QUARTER)
+    return features.labelled_cross_section(_wide_all(star), snapshot)
+
+
+#: Families of the panel query that is compared with SQL; forward_panel_all and the models take all.
 PANEL_FAMILIES = ("total_orders_cpo", "total_earnings", "no_shows", "hours_worked", "slot_gap_mean_days")
 
 
@@ -401,14 +420,24 @@ def _wide_core(star: roles.Star) -> DataFrame:
     return build.history_table(roles.sources(star), QUARTER, PANEL_FAMILIES, roles.order_day_calendar(star))
 
 
-def _panel(star: roles.Star, **options) -> DataFrame:
+def _wide_all(star: roles.Star) -> DataFrame:
+    return build.history_table(roles.sources(star), QUARTER, calendar=roles.order_day_calendar(star))
+
+
+def _panel(star: roles.Star, wide: DataFrame, **options) -> DataFrame:
     snapshot = activity.activity_snapshot(roles.orders_nested(star), roles.slots(star), QUARTER)
-    return panel.forward_event_panel(_wide_core(star), snapshot, QUARTER, **options)
+    return panel.forward_event_panel(wide, snapshot, QUARTER, **options)
 
 
 @query
 def forward_panel(star):
-    return _panel(star, derive=False)
+    return _panel(star, _wide_core(star), derive=False)
+
+
+@query
+def forward_panel_all(star):
+    """The panel with all families and the derived columns."""
+    return _panel(star, _wide_all(star), unique_riders=True)
 
 
 @query
@@ -422,9 +451,15 @@ def forward_panel_full_history(star):
     )
 
 
+@query
+def forward_panel_full_history_all(star):
+    """The panel with all families, derived columns and offsets, its lags filled from the longer history."""
+    return build.training_panel(roles.sources(star), QUARTER, full_history=True, tenure_at_event=True, label_delay_periods=1)
+
+
 @query
 def time_split(star):
-    rows = durable(_panel(star, derive=False).select("rider_id", "event_week", "is_churned"))
+    rows = durable(_panel(star, _wide_all(star)).select("rider_id", "event_week", "is_churned"))
     train, test, how = panel.time_split(rows)
     both = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
     return both.groupBy("part").agg(
@@ -779,7 +814,8 @@ def feature_matrix(star):
 
 
 def _model_panel(star: roles.Star) -> DataFrame:
-    return durable(_panel(star))
+    """The panel with all families and the derived columns."""
+    return durable(_panel(star, _wide_all(star), unique_riders=True))
 
 
 @query
@@ -787,7 +823,7 @@ def ml_train_score(star):
     """All candidates on the time split, the champion saved, loaded and applied to the newest period."""
     rows = _model_panel(star)
     train, test, _ = panel.time_split(rows)
-    fitted = ml.fit_candidates(train, test, ml.candidate_models(lr_iter=30, trees=10, depth=5, rounds=5))
+    fitted = ml.fit_candidates(train, test, ml.candidate_models())
     best = ml.best_candidate(fitted)
     folder = sinks.work_folder(star.spark, "model")
     ml.save_model(best.model, folder)
@@ -798,15 +834,15 @@ def ml_train_score(star):
 def ml_importance(star):
     rows = _model_panel(star)
     train, test, _ = panel.time_split(rows)
-    small = {"random_forest": ml.candidate_models(trees=10, depth=5)["random_forest"]}
-    fitted = ml.fit_candidates(train, test, small)["random_forest"]
+    forest = {"random_forest": ml.candidate_models()["random_forest"]}
+    fitted = ml.fit_candidates(train, test, forest)["random_forest"]
     return ml.feature_importance(fitted.model, rows)
 
 
 @query
 def rolling_backtest(star):
     """All periods of the panel as folds."""
-    rows = durable(_panel(star, derive=False))
+    rows = _model_panel(star)
     return ml.rolling_backtest(rows, lambda: ml.candidate_models()["logistic_regression"], "logistic_regression")
 
 
