@@ -7,9 +7,10 @@ and peeling takes them out one after the other, from cells that hold exactly one
 two texts is the number of common digests over the number of all, both known from the counts and the
 recovered differences.
 
-The fingerprint is the sketch of all digests. Where it is too small to be peeled, the digests are dealt to
-groups, each with a sketch of its own, and those are subtracted and peeled; on failure there are four times
-as many groups. All of it is column arithmetic inside a row.
+The fingerprint is the sketch of all digests. Where it is too small to be peeled, the digests of both sides are dealt to
+parts by a hash of their own, each part is sketched with cells of its own and peeled, and only parts that cannot be peeled
+are dealt again, with other hashes. The number of parts follows the size of the difference, which the cells tell:
+the squares of the counts in a table add up to about the number of differing digests. All of it is column arithmetic inside a row.
 
 Defined cases: a null or empty text has no paragraph; two texts without any have likeness 1. Repeated paragraphs
 count once. Equal texts have equal fingerprints. Whole texts are read at any length. ``likeness`` and ``fingerprint`` are
@@ -26,9 +27,10 @@ from stayrate.llm.common import let
 PIECE_WORDS = 16
 TABLES = 3
 CELLS = 8
-#: Digests that a group of a larger sketch holds on average, and how often it may be enlarged.
-GROUP = 6
-RETRIES = 4
+#: Differing digests that a part holds on average, the most parts that one is dealt to, and how often it is dealt.
+GROUP = 4
+PARTS = 64
+DEALS = 24
 #: Rounds of peeling; a sketch of 24 cells needs fewer.
 ROUNDS = 12
 
@@ -46,25 +48,32 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _cell(digest: Column, table: int) -> Column:
-    """The cell of a digest in a table, counted through all tables."""
-    return (F.shiftright(digest, 7 + 16 * table).bitwiseAND(F.lit(CELLS - 1)) + table * CELLS).cast("int")
+def _spread(digest: Column, seed: Column | None) -> Column:
+    """The bits that choose the cells: of the digest itself, or of a hash of it."""
+    return digest if seed is None else F.xxhash64(digest, F.lit(2), seed)
 
 
-def _at(digest: Column, i: Column) -> Column:
-    hit = _cell(digest, 0) == i
+def _cell(bits: Column, table: int) -> Column:
+    """The cell in a table, counted through all tables."""
+    return (F.shiftright(bits, 7 + 16 * table).bitwiseAND(F.lit(CELLS - 1)) + table * CELLS).cast("int")
+
+
+def _at(bits: Column, i: Column) -> Column:
+    hit = _cell(bits, 0) == i
     for t in range(1, TABLES):
-        hit = hit | (_cell(digest, t) == i)
+        hit = hit | (_cell(bits, t) == i)
     return hit
 
 
-def sketch(found: Column) -> Column:
+def sketch(found: Column, seed: Column | None = None) -> Column:
     """Cells (n, k, c) of an array of digests."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c"))
+    placed = F.transform(found, lambda d: F.struct(d.alias("k"), _spread(d, seed).alias("at"), _check(d).alias("c")))
     add = lambda a, d: F.struct(
-        (a["n"] + 1).alias("n"), a["k"].bitwiseXOR(d).alias("k"), a["c"].bitwiseXOR(_check(d)).alias("c")
+        (a["n"] + 1).alias("n"), a["k"].bitwiseXOR(d["k"]).alias("k"), a["c"].bitwiseXOR(d["c"]).alias("c")
     )
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), lambda i: F.aggregate(F.filter(found, lambda d: _at(d, i)), empty, add))
+    cells = F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1))
+    return let(placed, lambda p: F.transform(cells, lambda i: F.aggregate(F.filter(p, lambda d: _at(d["at"], i)), empty, add)))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -73,8 +82,11 @@ def subtracted(a: Column, b: Column) -> Column:
     )
 
 
-def peeled(cells: Column) -> Column:
-    """The number of digests that differ, or null if some stay in the cells.
+_DIGESTS = "array<struct<digest:bigint,side:int>>"
+
+
+def peeled(cells: Column, seed: Column | None = None) -> Column:
+    """The digests that differ, with side 1 (only in the first) or -1 (only in the second), or null if some stay in the cells.
 
     Each round takes out all digests that stand alone in a cell.
     """
@@ -84,49 +96,81 @@ def peeled(cells: Column) -> Column:
         less = lambda a, p: F.struct(
             (a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["c"].bitwiseXOR(p["c"]).alias("c")
         )
-        rest = F.transform(state["cells"], lambda x, i: F.aggregate(F.filter(pure, lambda p: _at(p["k"], i)), x, less))
-        return F.struct(rest.alias("cells"), (state["d"] + F.size(pure)).alias("d"))
+        placed = F.transform(pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c"), _spread(p["k"], seed).alias("at")))
+        rest = let(placed, lambda q: F.transform(state["cells"], lambda x, i: F.aggregate(F.filter(q, lambda p: _at(p["at"], i)), x, less)))
+        got = F.transform(pure, lambda p: F.struct(p["k"].alias("digest"), p["n"].cast("int").alias("side")))
+        return F.struct(rest.alias("cells"), F.concat(state["d"], got).alias("d"))
 
     def step(state: Column, _: Column) -> Column:
         pure = F.array_distinct(F.filter(state["cells"], alone))
         return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(take(state, p)))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("d"))
+    start = F.struct(cells.alias("cells"), F.array().cast(_DIGESTS).alias("d"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
     clean = lambda s: F.when(~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0)), s["d"])
     return let(done, clean)
 
 
-def _grouped(a: Column, b: Column, times: int) -> Column:
-    """The differences summed over groups of the digests, or null if a group cannot be peeled.
+def _about(cells: Column, least: Column) -> Column:
+    """The number of differing digests, about: at least the difference of the counts."""
+    total = F.aggregate(cells, F.lit(0).cast("bigint"), lambda n, x: n + x["n"].cast("bigint") * x["n"])
+    return F.greatest((total / TABLES - least * least / CELLS) * CELLS / (CELLS - 1), least.cast("double"), F.lit(2.0 * GROUP))
+
+
+def _parts(a: Column, b: Column, cells: Column) -> Column:
+    """In how many parts to deal two arrays whose subtracted cells cannot be peeled."""
+    wanted = _about(cells, F.abs(F.size(a) - F.size(b)).cast("bigint"))
+    return F.least(F.ceil(wanted / GROUP), F.lit(PARTS)).cast("bigint")
+
+
+def dealt(a: Column, b: Column, cells: Column) -> Column:
+    """What ``peeled`` gives, from the digests of both sides dealt to parts: (found, open), ``open`` with the parts that no deal could peel.
 
-    Digests are dealt in two steps, so that no step looks at all digests once per group.
+    ``cells`` are the subtracted cells that could not be peeled.
     """
-    side = (F.ceil(F.sqrt((F.size(a) + F.size(b)) / F.lit(2.0 * GROUP))).cast("bigint") * times).cast("bigint")
+    todo = F.array(F.struct(a.alias("a"), b.alias("b"), _parts(a, b, cells).alias("n")))
+    start = F.struct(F.array().cast(_DIGESTS).alias("found"), todo.alias("todo"))
 
-    def outer(n: Column) -> Column:
-        pick = lambda of, s: F.filter(of, lambda d: d % n == s)
-        fine = lambda of, s: F.filter(of, lambda d: F.floor(d / n) % n == s)
-        inner = lambda x, y: F.aggregate(
-            F.sequence(F.lit(0).cast("bigint"), n - 1), F.lit(0), lambda acc, t: acc + peeled(subtracted(sketch(fine(x, t)), sketch(fine(y, t))))
-        )
-        return F.aggregate(
-            F.sequence(F.lit(0).cast("bigint"), n - 1),
-            F.lit(0),
-            lambda acc, s: acc + let(F.struct(pick(a, s).alias("x"), pick(b, s).alias("y")), lambda p: inner(p["x"], p["y"])),
-        )
+    def split(p: Column, t: Column) -> Column:
+        place = lambda d: F.struct(d.alias("d"), F.pmod(F.xxhash64(d, F.lit(3), t), p["n"]).alias("s"))
+        mine = lambda of, s: F.transform(F.filter(of, lambda x: x["s"] == s), lambda x: x["d"])
+        both = F.struct(F.transform(p["a"], place).alias("a"), F.transform(p["b"], place).alias("b"))
+        return let(both, lambda q: F.transform(
+            F.sequence(F.lit(0).cast("bigint"), p["n"] - 1), lambda s: F.struct(mine(q["a"], s).alias("a"), mine(q["b"], s).alias("b"))
+        ))
+
+    def tried(p: Column, t: Column) -> Column:
+        cells_of = subtracted(sketch(p["a"], t), sketch(p["b"], t))
+        return let(cells_of, lambda c: F.struct(p["a"].alias("a"), p["b"].alias("b"), _parts(p["a"], p["b"], c).alias("n"), peeled(c, t).alias("d")))
+
+    def deal(state: Column, t: Column) -> Column:
+        parts = F.transform(F.flatten(F.transform(state["todo"], lambda p: split(p, t))), lambda p: tried(p, t))
+        again = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["n"].alias("n"))
+        return let(parts, lambda q: F.struct(
+            F.concat(state["found"], F.flatten(F.transform(F.filter(q, lambda p: p["d"].isNotNull()), lambda p: p["d"]))).alias("found"),
+            F.transform(F.filter(q, lambda p: p["d"].isNull()), again).alias("todo"),
+        ))
 
-    return let(F.greatest(side, F.lit(1)), outer)
+    step = lambda state, t: F.when(F.size(state["todo"]) == 0, state).otherwise(deal(state, t))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DEALS)), start, step, lambda s: F.struct(s["found"].alias("found"), s["todo"].alias("open")))
+
+
+def _compared(a: Column, b: Column) -> Column:
+    """The differing digests of two arrays as they are."""
+    of = lambda x, y, side: F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side")))
+    return F.concat(of(a, b, 1), of(b, a, -1))
 
 
 def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Likeness of two texts from their sketches, and from larger ones of their digests where those are too small."""
-    tries = [peeled(subtracted(sketch_a, sketch_b)), *[_grouped(a, b, 2**i) for i in range(RETRIES)]]
+    """Likeness of two texts from the differences that their sketches give."""
     both = F.size(a) + F.size(b)
     share = lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
-    # with all tries failed, which no run has met, the digests are compared as they are
-    plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return let(F.coalesce(*tries, plain), share)
+
+    def whole(cells: Column) -> Column:
+        rest = lambda s: F.concat(s["found"], F.flatten(F.transform(s["open"], lambda p: _compared(p["a"], p["b"]))))
+        return share(F.size(F.coalesce(peeled(cells), let(dealt(a, b, cells), rest))))
+
+    return let(subtracted(sketch_a, sketch_b), whole)
 
 
 def fingerprint(cells: Column) -> Column:
