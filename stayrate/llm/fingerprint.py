@@ -161,18 +161,26 @@ def _compared(a: Column, b: Column) -> Column:
     return F.concat(of(a, b, 1), of(b, a, -1))
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Likeness of two texts from the differences that their sketches give."""
-    both = F.size(a) + F.size(b)
-    share = lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
+def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """The digests (digest, side) that only the first (1) or only the second text (-1) has, from their sketches.
+
+    Where those are too small, from larger ones of the digests; a part that no deal could peel is compared as it is.
+    """
 
     def whole(cells: Column) -> Column:
         rest = lambda s: F.concat(s["found"], F.flatten(F.transform(s["open"], lambda p: _compared(p["a"], p["b"]))))
-        return share(F.size(F.coalesce(peeled(cells), let(dealt(a, b, cells), rest))))
+        return F.coalesce(peeled(cells), let(dealt(a, b, cells), rest))
 
     return let(subtracted(sketch_a, sketch_b), whole)
 
 
+def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """Likeness of two texts from the differences that their sketches give."""
+    both = F.size(a) + F.size(b)
+    share = lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
+    return let(F.size(differences(a, b, sketch_a, sketch_b)), share)
+
+
 def fingerprint(cells: Column) -> Column:
     """A sketch as text."""
     return F.concat_ws(".", F.transform(cells, lambda x: F.concat_ws(":", F.hex(x["n"].cast("bigint")), F.hex(x["k"]), F.hex(x["c"]))))

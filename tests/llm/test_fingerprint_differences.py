@@ -1,4 +1,4 @@
-"""The parts that peeling leaves for texts of any length."""
+"""The digests that peeling recovers, for texts of any length, and the parts that it leaves."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,11 +27,21 @@ def rows(spark):
     cells = fingerprint.subtracted(c("x"), c("y"))
     return frame.select(
         "a", "b",
+        fingerprint.differences(c("a"), c("b"), c("x"), c("y")).alias("d"),
         fingerprint.likeness(c("a"), c("b"), c("x"), c("y")).alias("like"),
         fingerprint.dealt(c("a"), c("b"), cells).alias("dealt"),
     ).collect()
 
 
+def test_differences_are_recovered_with_their_side(rows):
+    assert len(rows) == len(PAIRS)
+    for r in rows:
+        a, b = set(r["a"]), set(r["b"])
+        want = sorted([(d, 1) for d in a - b] + [(d, -1) for d in b - a])
+        assert sorted((d["digest"], d["side"]) for d in r["d"]) == want
+        assert r["like"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
 def test_no_part_of_a_long_text_is_left_unpeeled(rows):
     assert max(len(r["a"]) for r in rows) >= 2_500
     assert [len(r["dealt"]["open"]) for r in rows] == [0] * len(rows)
