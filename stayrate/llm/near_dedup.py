@@ -18,8 +18,8 @@ A link exactly at the threshold is missed with a probability of about 4e-6, a li
 than 1e-8; a confirmed link is exact up to 64-bit hashes of shingles.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; a text with one to four words is one shingle.
-Ids are whole numbers. Rows that repeat an id are one document, with the text whose shingle set has the smallest hash.
-Rows with a null id are linked with nothing and kept. Whole texts are read at any length. ``keep_one`` keeps all columns of
+Ids are whole numbers. Rows that repeat an id with one shingle set are one document; with several sets they are several, each
+compared and dropped on its own. Rows with a null id are linked with nothing and kept; ``groups`` shows them on request. Whole texts are read at any length. ``keep_one`` keeps all columns of
 the rows it keeps, so other columns never clash. An empty table gives an empty result.
 """
 
@@ -52,6 +52,9 @@ SKETCH_AGREE = 34
 #: Ratio of the bounds of a bucket of set sizes.
 SIZE_STEP = 1.05
 
+#: Numbers of further classes of an id with several sets.
+SEVERAL = 1 << 62
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,12 +136,12 @@ def signature(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) ->
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Rows (id, n_shingles, set_a, set_b, sketch, signature) for the rows (id, text).
+    """Rows (id, mark, n_shingles, set_a, set_b, sketch, signature) for the rows (id, text, mark).
 
     set_a and set_b are a 128-bit hash of the shingle set, null without shingles; the sketch has one bit of
     each of the first coordinates.
     """
-    schema = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch bigint, signature binary"
+    schema = "id bigint, mark bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch bigint, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = _factors()
@@ -158,8 +161,8 @@ def profiles(docs: DataFrame) -> DataFrame:
                     sketch.append(int((bits * weights).sum().astype(np.int64)))
                 long = lambda v: pa.array(v, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), long(n), long(a), long(b), long(sketch), pa.array(sig, pa.binary())],
-                    ["id", "n_shingles", "set_a", "set_b", "sketch", "signature"],
+                    [part.column(0), part.column(2), long(n), long(a), long(b), long(sketch), pa.array(sig, pa.binary())],
+                    ["id", "mark", "n_shingles", "set_a", "set_b", "sketch", "signature"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -206,7 +209,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _set_table(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (id, hashes) of the classes with these ids. Texts are read once for it, and the table is written once."""
-    wanted = classes.select("id", "set_a", "set_b").join(ids, "id", "left_semi")
+    wanted = classes.join(ids, "id", "left_semi").select(F.col("id").alias("class_id"), F.col("lead").alias("id"), "mark", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +220,7 @@ def _set_table(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
                     [pa.array([i for i, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], ["id", "hashes"]
                 )
 
-    texts = docs.join(wanted, "id").select("id", "text", "set_a", "set_b")
+    texts = docs.join(wanted, ["id", "mark"]).select(F.col("class_id").alias("id"), "text", "set_a", "set_b")
     return durable(texts.mapInArrow(run, "id bigint, hashes binary").dropDuplicates(["id"]))
 
 
@@ -255,20 +258,27 @@ def _enough(postings_left: DataFrame, name: str = "m") -> DataFrame:
     return postings_left.groupBy("id").agg(F.count(F.lit(1)).alias(name)).where(F.col(name) >= MATCHES)
 
 
-def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For rows (id, text): documents (id, n_shingles, class_id), confirmed links (a, b) between classes, and their groups (node, component).
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """For rows (id, text, mark): documents (id, set_a, set_b, n_shingles, class_id), confirmed links (a, b) between classes, their groups (node, component), and the profiles.
 
     Groups only grow, so a posting inside one group and a class with too few other postings are done
-    with for good: each round reads only what the round before left.
+    with for good: each round reads only what the round before left. A document is an id with one of its sets; one without shingles has no class. A class
+    has its smallest id as a number; of several classes with one smallest id all but one get a number from 2 ** 62 on.
     """
     seen = durable(profiles(docs))
-    rows = seen.groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n_shingles")).alias("s")).select("id", "s.*")
-    leads = rows.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("class_id"))
-    members = durable(
-        rows.join(leads, ["set_a", "set_b"], "left").select("id", "n_shingles", "set_a", "set_b", F.coalesce("class_id", "id").alias("class_id"))
+    rows = seen.groupBy("id", "set_a", "set_b").agg(F.max("n_shingles").alias("n_shingles"))
+    leads = rows.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("lead"))
+    firsts = leads.groupBy("lead").agg(F.min(F.struct("set_a", "set_b")).alias("first"))
+    own = F.struct("set_a", "set_b") == F.col("first")
+    number = F.xxhash64("lead", "set_a", "set_b").bitwiseAND(F.lit(SEVERAL - 1)).bitwiseOR(F.lit(SEVERAL))
+    named = durable(leads.join(firsts, "lead").select("set_a", "set_b", "lead", F.when(own, F.col("lead")).otherwise(number).alias("class_id")))
+    members = durable(rows.join(named, ["set_a", "set_b"], "left").select("id", "set_a", "set_b", "n_shingles", "class_id"))
+    led = named.select(F.col("lead").alias("id"), "set_a", "set_b", "class_id")
+    classes = durable(
+        seen.join(led, ["id", "set_a", "set_b"]).dropDuplicates(["class_id"]).select(
+            F.col("class_id").alias("id"), F.col("id").alias("lead"), "mark", "n_shingles", "set_a", "set_b", "sketch", "signature"
+        )
     )
-    own = members.where("set_a is not null and id = class_id").select("id", "set_a", "set_b")
-    classes = durable(seen.join(own, ["id", "set_a", "set_b"]).dropDuplicates(["id"]))
     posted = postings(classes)
     counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = durable(posted.join(counted.select("token"), "token"))
@@ -291,9 +301,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         found = new if found is None else found.unionByName(new)
         live = durable(_joined(met.join(_enough(met), "id", "left_semi"), stars))
         if live.isEmpty():
-            return members, found, stars
+            return members, found, stars, seen
     new = _confirmed(durable(_rest(live, sets, classes)), sets)
-    return members, found.unionByName(new), components(_edges(stars).unionByName(new))
+    return members, found.unionByName(new), components(_edges(stars).unionByName(new)), seen
 
 
 def _edges(stars: DataFrame) -> DataFrame:
@@ -301,12 +311,18 @@ def _edges(stars: DataFrame) -> DataFrame:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.withColumn("mark", _mark("text"))
+
+
+def _mark(text: str | Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text)
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (id, n_shingles, class_id) and confirmed links (a, b) between classes."""
-    members, found, _ = _linked(_documents(docs, id_col, text_col))
+    """Documents (id, set_a, set_b, n_shingles, class_id) and confirmed links (a, b) between classes."""
+    members, found, *_ = _linked(_documents(docs, id_col, text_col).where("id is not null"))
     return members, found
 
 
@@ -370,19 +386,42 @@ def _rest(shared: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id reachable) and kept (it is the smallest)."""
-    members, _, parts = _linked(_documents(docs, id_col, text_col))
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (id, text, mark): documents (id, set_a, set_b, n_shingles, component_id, kept), and the profiles."""
+    members, _, parts, seen = _linked(rows)
     joined = members.join(parts.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    group = F.coalesce("component", "class_id")
-    return joined.select(
-        F.col("id").alias(id_col), "n_shingles", group.alias("component_id"), (F.col("id") == group).alias("kept")
+    grouped = joined.select("id", "set_a", "set_b", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("group"))
+    # where several classes have one smallest id, that id may have more than one of its texts in a group: one stays
+    numbered = grouped.where(F.col("class_id") >= SEVERAL).select("group").distinct()
+    best = grouped.join(numbered, "group", "left_semi").groupBy("group").agg(F.min(F.struct("id", "class_id")).alias("best"))
+    smallest = F.coalesce("best.id", "group", "id")
+    stays = (F.col("id") == smallest) & (F.col("best").isNull() | (F.col("class_id") == F.col("best.class_id")))
+    out = grouped.join(best, "group", "left").select(
+        "id", "set_a", "set_b", "n_shingles", smallest.alias("component_id"), F.coalesce(stays, F.lit(True)).alias("kept")
     )
+    return out, seen
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """Per document: id, n_shingles, component_id (the smallest id reachable) and kept (it is the smallest).
+
+    ``null_ids`` adds the rows without an id, each for itself and without a component.
+    """
+    rows = _documents(docs, id_col, text_col)
+    out = _grouped(rows.where("id is not null"))[0].select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+    if not null_ids:
+        return out
+    alone = profiles(rows.where("id is null"))
+    none = F.lit(None).cast("bigint")
+    return out.unionByName(alone.select(none.alias(id_col), "n_shingles", none.alias("component_id"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that a smaller id stands for, with all their columns."""
-    gone = groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
+    """The documents without those that a smaller id stands for, with all their columns. A row goes by its own text's group."""
+    grouped, seen = _grouped(_documents(docs, id_col, text_col).where("id is not null"))
+    gone = grouped.where(~F.col("kept")).select("id", "set_a", "set_b")  # a text without shingles stays
+    dropped = seen.join(gone, ["id", "set_a", "set_b"], "left_semi").select(F.col("id").alias("__gone"), F.col("mark").alias("__mark"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    left = rows.join(gone, F.col("__row").getField(id_col).cast("bigint") == F.col("__gone"), "left_anti")
-    return left.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    of = lambda c: F.col("__row").getField(c)
+    left = rows.join(dropped, (of(id_col).cast("bigint") == F.col("__gone")) & (_mark(of(text_col).cast("string")) == F.col("__mark")), "left_anti")
+    return left.select(*[of(c).alias(c) for c in docs.columns])

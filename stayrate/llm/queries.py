@@ -108,7 +108,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, duplicate group and whether it stays, for every document."""
-    return near_dedup.groups(table(spark, sf_dir, "documents"))
+    return near_dedup.groups(table(spark, sf_dir, "documents"), null_ids=True)
 
 
 @query
