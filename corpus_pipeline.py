@@ -46,7 +46,8 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Near duplicates by signatures and windows by token ids are not to be had in SQL; tests hold each stage against brute force.
+#: Near duplicates by signatures and windows by token ids are not to be had in SQL; tests hold the stages quality_rules and
+#: line_dedup against SQL (op5, op6) and near_dedup against brute force; mixing, packing and the run as a whole are not compared.
 ORACLE_SQL = None
 
 
