@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import number_rows
-from stayrate.llm import chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter
+from stayrate.llm import chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, prefix_trie, quality, url_filter
 from stayrate.llm.common import Query, table, text_or_empty
 
 #: The rules of the url query: host, path, action.
@@ -222,6 +222,55 @@ from c group by conv_id
 """
 
 
+def _rebuilt(convs: DataFrame) -> DataFrame:
+    """Each conversation with its first turns from the conversation at the last full hundred; how many, a hash of its id says."""
+    c = F.col("conv_id")
+    taken = (F.crc32(c.cast("string").cast("binary")) % 6).cast("int")
+    firsts = convs.where(c % 100 == 0).select(c.alias("base"), F.slice("turns", 1, 5).alias("firsts"))
+    met = convs.select("conv_id", "turns", taken.alias("h"), (c - c % 100).alias("base")).join(firsts, "base", "left")
+    theirs = F.slice(F.coalesce("firsts", F.slice("turns", 1, 0)), F.lit(1), F.col("h"))
+    return met.select("conv_id", F.concat(theirs, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    found = prefix_trie.trie(_rebuilt(prefix_trie.conversations(table(spark, sf_dir, "conversations"))))
+    nodes = found.nodes.join(prefix_trie.end_digests(found.ends), "node", "left")
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+ORACLE["op11_prefix_trie"] = r"""
+with recursive ids as (select distinct conv_id from conversations where conv_id is not null),
+crc(conv_id, s, i, c) as (select conv_id, conv_id::varchar, 0, 4294967295::bigint from ids
+  union all select conv_id, s, i + 1, list_reduce([xor(c, ascii(s[i + 1])::bigint), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) from crc where i < length(s)),
+h as (select conv_id, xor(c, 4294967295) % 6 as h from crc where i = length(s)),
+d as (select conv_id, turn, length(coalesce(text, '')) as chars,
+  md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as d from conversations),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, d) as i from d),
+r as (select h.conv_id, 0 as part, t.i, t.d, t.chars from h join t on t.conv_id = h.conv_id - h.conv_id % 100 and t.i <= h.h
+  union all select conv_id, 1, i, d, chars from t join h using (conv_id) where i > h.h),
+n as (select conv_id, d, chars, row_number() over (partition by conv_id order by part, i) as depth from r),
+p as (select conv_id, depth, chars, string_agg(d, '') over (partition by conv_id order by depth) as path from n
+  union all select conv_id, 0, 0, '' from ids),
+l as (select conv_id, max(depth) as len from p group by conv_id),
+v as (select path, depth, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len = depth), '')) as ends_sha256
+  from p join l using (conv_id) group by path, depth),
+k as (select left(path, 32 * (depth - 1)) as path, count(*) as n_children from v where depth > 0 group by 1),
+a as (select v.*, coalesce(n_children, 0) as n_children from v left join k using (path)),
+u as (select left(path, (32 * x)::bigint) as path, sum((n_children = 0)::int) as n_leaves, sum((n_convs - 1) * chars) as saved_tokens
+  from a, range(0, depth + 1) r(x) group by 1)
+select a.conv_id, a.depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children, u.n_leaves::bigint as n_leaves,
+  u.saved_tokens::bigint as saved_tokens, a.ends_sha256
+from a join u using (path) left join a b on a.depth > 0 and b.path = left(a.path, 32 * (a.depth - 1))
+"""
+
+
 def registered() -> dict[str, Query]:
     return dict(QUERIES)
 
