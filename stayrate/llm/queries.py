@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import number_rows
-from stayrate.llm import chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, prefix_trie, quality, url_filter
+from stayrate.llm import bpe, chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, prefix_trie, quality, url_filter
 from stayrate.llm.common import Query, table, text_or_empty
 
 #: The rules of the url query: host, path, action.
@@ -271,6 +271,13 @@ from a join u using (path) left join a b on a.depth > 0 and b.path = left(a.path
 """
 
 
+@query
+def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids, and digests of the ids and of the decoded text, for every document."""
+    made = bpe.encode(table(spark, sf_dir, "documents"), digests=True)
+    return made.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 def registered() -> dict[str, Query]:
     return dict(QUERIES)
 
