@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import number_rows
-from stayrate.llm import bpe, chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, prefix_trie, quality, url_filter
+from stayrate.llm import bpe, chat, fingerprint, lang_id, line_dedup, lm_score, mixing, near_dedup, packing, phrases, prefix_trie, quality, url_filter
 from stayrate.llm.common import Query, table, text_or_empty
 
 #: The rules of the url query: host, path, action.
@@ -278,6 +278,38 @@ def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    found = phrases.first_ranked(phrases.collocations(table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE["op13_phrase_collocations"] = r"""
+with t as (select row_number() over () as id, coalesce(lang, 'und') as lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select id, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from t),
+q as (select row_number() over () as pid, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+x as (select pid, lang, unnest(ws) as w, generate_subscripts(ws, 1) as i from q),
+y as (select lang, w, lead(w, 1) over o as x, lead(w, 2) over o as y, lead(w, 3) over o as z from x window o as (partition by pid order by i)),
+g as (select lang, 1 as m, w as phrase from y union all select lang, 2, w || ' ' || x from y where x is not null
+  union all select lang, 3, w || ' ' || x || ' ' || y from y where y is not null
+  union all select lang, 4, w || ' ' || x || ' ' || y || ' ' || z from y where z is not null),
+f as (select lang, m, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where m = 1 group by lang),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from f where m > 1 and f >= 30),
+k as (select c.*, k, array_to_string(ws[1:k], ' ') as one, array_to_string(ws[k + 1:], ' ') as two from c, range(1, 4) r(k) where k < m),
+s as (select k.lang, k.phrase, k.a, k.k, x.f as l, y.f as r, (2000000::hugeint * k.a) // (x.f + y.f) as score
+  from k join f x on x.lang = k.lang and x.phrase = k.one join f y on y.lang = k.lang and y.phrase = k.two),
+b as (select lang, phrase, a, unnest(min(struct_pack(score := score, k := k, l := l, r := r))) from s group by lang, phrase, a),
+i as (select lang, array_to_string(ws[o:o + z - 1], ' ') as phrase, max(a) as longer from c, range(2, 4) r(z), range(1, 4) u(o)
+  where z < m and o + z - 1 <= m group by 1, 2),
+d as (select b.* from b left join i using (lang, phrase) where i.longer is null or 100::hugeint * i.longer < 80::hugeint * b.a)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from (select d.*, n.n,
+  row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from d join n using (lang)) where rank <= 2000
+"""
+
+
 def registered() -> dict[str, Query]:
     return dict(QUERIES)
 
