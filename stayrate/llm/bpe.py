@@ -6,37 +6,37 @@
 2. The distinct parts with their counts are one table; each is encoded once, and decoded through a join of its ids
    with the table of pieces.
 3. Ids are joined back by position. The most frequent parts, as many as fit into ``LEXICON_WORDS`` and
-   ``LEXICON_BYTES``, are at hand in every task; a text becomes the row of its parts' numbers there, compressed. All other
-   parts go through a join on the part, with their text's key and their place among its other parts, and come
-   back as one list per text.
-4. Texts without their words are then put together: the ids, and the pieces with a space between, which is what the
+   ``LEXICON_BYTES``, are at hand in every task; a block of texts becomes one row with its parts' numbers there, compressed. All
+   other parts go through a join on the part, with their block's key and their place among its other parts, and come
+   back as one list per block.
+4. Blocks are then put together: the ids of each text, and the pieces with a space between, which is what the
    tokenizer's own decoding gives for files without a decoder.
 
 What moves is each task's distinct parts, the rare parts and the numbers of the frequent ones; texts stay where they are read.
-They are read three times: counted, numbered, and searched for rare parts.
+They are read three times: counted, numbered, and searched for rare parts. A block's key is a hash of its ids and texts, so both
+of the last two readings name it alike; a block that misses its list stops the job.
 
-Defined cases: a null or empty text has no ids and decodes to the empty text. Rows that repeat an id are told
-apart by a hash of their text; equal rows share one list. A null id is a key of its own. Texts of any length are read
-whole. Special tokens inside a text are encoded as the tokenizer does it, as one id. The result has the columns asked for, so
-other columns never clash. An empty table gives an empty result.
+Defined cases: a null or empty text has no ids and decodes to the empty text. Rows that repeat an id, or have none, give a row
+each; equal blocks share one list. Texts of any length are read whole. Special tokens inside a text are encoded as the tokenizer
+does it, as one id. The result has the columns asked for, so other columns never clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import durable
-from stayrate.llm.tokens import REMEMBERED, coded, slices, split_words
+from stayrate.llm.tokens import REMEMBERED, slices, split_words
 
 #: Bounds of the table that every task holds: parts, and bytes of all its parts, ids and pieces as text.
 LEXICON_WORDS = 262_144
@@ -44,10 +44,16 @@ LEXICON_BYTES = 1 << 25
 #: A longer part is never in that table.
 LEXICON_LONGEST = 256
 _PER_CALL = 1000
+#: Parts of a block of texts; a text with more is a block of its own.
+BLOCK = 1 << 17
 
 #: Words of these characters can be cut before the tokenizer sees them: ASCII, and letters with marks up to U+017F.
+_LETTER = "a-zÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile("[!-~À-ſ]+")
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ſ]+")
+_UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+#: A letter and a sign are never in one token; words that need not be cut.
+_BORDER = f"([{_LETTER}])([.,;:!?])"
+_ONE = f"^([{_LETTER}]+|[.,;:!?])$"
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -75,74 +81,82 @@ def units(word: str) -> list[str]:
     return [word]
 
 
-class _Cutter:
-    """Cuts the texts of a column into parts, one step per distinct word."""
-
-    def __init__(self) -> None:
-        self.words: dict[str, list[str]] = {}
-
-    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct parts, the part of each position, and where each text's positions start (one more entry than texts)."""
-        words, starts = split_words(texts)
-        distinct, codes = coded(words)
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        known, place = self.words, {}
-        of_word = []
-        for w in distinct:
-            found = known.get(w)
-            if found is None:
-                found = known[w] = units(w)
-            of_word.append([place.setdefault(u, len(place)) for u in found])
-        sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
-        pool = np.fromiter((u for us in of_word for u in us), np.int64, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        flat = pool[np.repeat(begins[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
-        return list(place), flat, upto[starts]
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct parts, the part of each position, and where each text's positions start (one more entry than texts).
+
+    Case matters only inside what could be a special token.
+    """
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    words, starts = split_words(pc.replace_substring_regex(texts, _BORDER, r"\1 \2"))
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    found = words.dictionary_encode()
+    distinct, codes = found.dictionary, np.asarray(found.indices, dtype=np.int64)
+    more = np.flatnonzero(~np.asarray(pc.match_substring_regex(distinct, _ONE)))
+    if not len(more):
+        return distinct, codes, starts
+    parts = [units(w) for w in distinct.take(pa.array(more)).to_numpy(zero_copy_only=False)]
+    sizes = np.ones(len(distinct), np.int64)
+    sizes[more] = [len(x) for x in parts]
+    begins = np.cumsum(sizes) - sizes
+    # first all words as they are, then the parts of those that were cut
+    whole = np.concatenate([distinct.to_numpy(zero_copy_only=False), np.array([u for x in parts for u in x], dtype=object)])
+    pool = np.repeat(np.arange(len(distinct)), sizes)
+    cut_up = np.zeros(len(distinct), bool)
+    cut_up[more] = True
+    pool[np.repeat(cut_up, sizes)] = len(distinct) + np.arange(len(whole) - len(distinct))
+    lengths = sizes[codes]
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    flat = pool[np.repeat(begins[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
+    named = pa.array(whole, pa.large_string()).dictionary_encode()
+    flat = np.asarray(named.indices, dtype=np.int64)[flat]
+    used = np.unique(flat)
+    return named.dictionary.take(pa.array(used)), np.searchsorted(used, flat), upto[starts]
 
 
 def word_table(texts: DataFrame) -> DataFrame:
     """Rows (word, n): the distinct parts of all texts (one column) with their counts."""
+    most = REMEMBERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held = _Cutter(), {}
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
             for part in slices(batch, 0):
-                distinct, flat, _ = cutter.cut(part.column(0))
-                for w, n in zip(distinct, np.bincount(flat, minlength=len(distinct)).tolist()):
-                    held[w] = held.get(w, 0) + n
-                if len(held) > REMEMBERED:
-                    yield out()
-                    held.clear()
+                distinct, flat, _ = cut(part.column(0))
+                counts = np.bincount(flat, minlength=len(distinct))
+                held.append(pa.table({"word": distinct.cast(pa.string()), "n": pa.array(counts, pa.int64())}))
+                if sum(t.num_rows for t in held) > 4 * most:
+                    held = [summed()]
+                    if held[0].num_rows > 2 * most:
+                        yield from held[0].combine_chunks().to_batches()
+                        held = []
         if held:
-            yield out()
+            yield from summed().combine_chunks().to_batches()
 
     return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The rows (word, n) with ids, each word encoded once."""
+    """The rows with ids, each word encoded once; the rows stay in their partitions."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(tokenizer_path(tokenizer))
         made.no_truncation()
         made.no_padding()
-        for batch in batches:
-            for i in range(0, batch.num_rows, _PER_CALL):
-                part = batch.slice(i, _PER_CALL)
-                ids = [e.ids for e in made.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+        for column in columns:
+            found = column.to_pylist()
+            ids = [e.ids for i in range(0, len(found), _PER_CALL) for e in made.encode_batch(found[i : i + _PER_CALL], add_special_tokens=False)]
+            yield pa.array(ids, pa.list_(pa.int32()))
 
-    return words.mapInArrow(run, "word string, n bigint, ids array<int>")
+    return words.withColumn("ids", ids_of("word"))
 
 
 def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
@@ -156,10 +170,10 @@ def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
 def decode(rows: DataFrame, key: str, spark: SparkSession, tokenizer: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, n_ids, ids, decoded) for rows with a unique ``key`` and ``ids``: the pieces of the ids with a space between.
 
-    The vocabulary is of a fixed size and goes to every task; the ids of a key stay together. ``keep`` names columns to carry along.
+    The vocabulary is of a fixed size and goes to every task. ``keep`` names columns to carry along. Rows that are dealt by
+    the key already do not move.
     """
-    dealt = rows.select(key, *keep, "ids").repartition(key)
-    each = dealt.select(key, *keep, F.posexplode_outer("ids").alias("pos", "token"))
+    each = rows.select(key, *keep, F.posexplode_outer("ids").alias("pos", "token"))
     met = each.join(F.broadcast(pieces(spark, tokenizer)), "token", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token", "piece"))))
     whole = met.groupBy(key, *keep).agg(ordered.alias("p"))
@@ -167,21 +181,43 @@ def decode(rows: DataFrame, key: str, spark: SparkSession, tokenizer: str | None
     return whole.select(key, *keep, F.size("p").alias("n_ids"), ids.alias("ids"), F.array_join("p.piece", " ").alias("decoded"))
 
 
-def _lexicon(table: DataFrame) -> tuple[dict[str, int], np.ndarray, list[bytes], list[bytes]]:
-    """Numbers of the most frequent parts, their counts of ids, and their ids and pieces as text, within the bounds."""
+def _lexicon(table: DataFrame) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array]:
+    """The most frequent parts, their counts of ids, and their ids and pieces as text, within the bounds."""
     size = F.octet_length("word") + F.octet_length("ids") + F.octet_length("decoded")
     short = table.where(F.octet_length("word") <= LEXICON_LONGEST).select("word", "n", "n_ids", "ids", "decoded", size.alias("bytes"))
     top = short.orderBy(F.col("n").desc(), "word").limit(LEXICON_WORDS).toArrow()
     fits = int(np.searchsorted(np.cumsum(top["bytes"].to_numpy()), LEXICON_BYTES, side="right"))
     top = top.slice(0, fits)
-    numbers = {w: i for i, w in enumerate(top["word"].to_pylist())}
-    text = lambda c: [x.encode() for x in top[c].to_pylist()]
-    return numbers, top["n_ids"].to_numpy().astype(np.int64), text("ids"), text("decoded")
+    text = lambda c: top[c].cast(pa.large_string()).combine_chunks()
+    return text("word"), top["n_ids"].to_numpy().astype(np.int64), text("ids"), text("decoded")
+
 
+class _Blocks:
+    """Texts as blocks of parts' numbers in the lexicon; the first number beyond it stands for all other parts."""
 
-def _mark(text: Column) -> Column:
-    """Tells the texts of one id apart."""
-    return F.xxhash64(text, F.length(text))
+    def __init__(self, known: pa.Array) -> None:
+        self.known = known
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Array, np.ndarray, np.ndarray, Iterator]]:
+        """(key, ids, parts per text, numbers, the other parts) of each block of rows (id, text)."""
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch):
+                distinct, flat, starts = cut(part.column(1))
+                numbers = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=self.known), len(self.known)), dtype=np.uint32)
+                a = 0
+                while a < part.num_rows:
+                    b = max(int(np.searchsorted(starts, starts[a] + BLOCK, side="right")) - 1, a + 1)
+                    rows, own = part.slice(a, b - a), flat[starts[a] : starts[b]]
+                    text = rows.column(1)
+                    name = xxhash.xxh3_128(repr(rows.column(0).to_pylist()).encode())
+                    name.update(repr(pc.binary_length(text).to_pylist()).encode())
+                    name.update("".join(text.to_pylist()).encode("utf-8", "surrogatepass"))
+                    key = tuple(np.frombuffer(name.digest(), np.int64).tolist())
+                    codes = numbers[own]
+                    yield key, rows.column(0), np.diff(starts[a : b + 1]), codes, distinct.take(pa.array(own[codes == len(self.known)]))
+                    a = b
 
 
 def encode(
@@ -194,83 +230,82 @@ def encode(
     _checked(tokenizer_path(tokenizer))
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("__id"), _mark(text).alias("__mark"), text.alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
 
     words = encode_words(word_table(rows.select("__text")), tokenizer)
     table = durable(decode(words, "word", spark, tokenizer, keep=("n",)))
-    numbers, sizes, id_texts, piece_texts = _lexicon(table)
-    rare_number = len(numbers)
+    known, sizes, id_texts, piece_texts = _lexicon(table)
+    beyond = len(known)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter()
-        for batch in batches:
-            for part in slices(batch, 2):
-                distinct, flat, starts = cutter.cut(part.column(2))
-                codes = np.fromiter((numbers.get(w, rare_number) for w in distinct), np.uint32, len(distinct))[flat]
-                packed = [zlib.compress(_planes(codes[a:b]), 1) for a, b in zip(starts, starts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["__id", "__mark", "__codes"])
+        import zstandard
+
+        for (a, b), ids, lengths, codes, others in _Blocks(known).of(batches):
+            packed = zstandard.ZstdCompressor(level=1).compress(_planes(codes))
+            one = [pa.array([x]) for x in (a, b, len(others))]
+            of_texts = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            blobs = [pa.array([x], pa.binary()) for x in (lengths.astype("<i8").tobytes(), packed)]
+            yield pa.RecordBatch.from_arrays([*one, of_texts, *blobs], ["a", "b", "n_others", "ids", "lengths", "codes"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter()
-        for batch in batches:
-            for part in slices(batch, 2):
-                distinct, flat, starts = cutter.cut(part.column(2))
-                unknown = np.fromiter((w not in numbers for w in distinct), bool, len(distinct))[flat]
-                at = np.flatnonzero(unknown)
-                owner = np.searchsorted(starts, at, side="right") - 1
-                before = np.concatenate([[0], np.cumsum(unknown)])[starts]
-                place = np.arange(len(at)) - before[owner]
-                names = pa.array(distinct, pa.string()).take(pa.array(flat[at]))
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(place.astype(np.int32)), names], ["__id", "__mark", "place", "word"]
-                )
-
-    key = (F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.col("__mark"))
-    joint = F.xxhash64(*key).alias("__joint")
-    coded_rows = rows.mapInArrow(numbered, f"__id {kind}, __mark bigint, __codes binary").withColumn("__joint", joint)
-    others = rows.mapInArrow(rare, f"__id {kind}, __mark bigint, place int, word string").select(joint, "__mark", "place", "word")
-    found = others.join(table.select("word", "n_ids", "ids", "decoded"), "word")
-    # equal rows give equal parts at equal places, which the set takes once
-    lists = found.groupBy("__joint", "__mark").agg(F.collect_set(F.struct("place", "n_ids", "ids", "decoded")).alias("__rare"))
-    met = coded_rows.join(lists, ["__joint", "__mark"], "left").select("__id", "__codes", "__rare")
+        for (a, b), _, _, _, others in _Blocks(known).of(batches):
+            n = len(others)
+            arrays = [pa.array(np.full(n, a)), pa.array(np.full(n, b)), pa.array(np.arange(n, dtype=np.int32)), others.cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "place", "word"])
+
+    blocks = rows.mapInArrow(numbered, f"a bigint, b bigint, n_others bigint, ids array<{kind}>, lengths binary, codes binary")
+    others = rows.mapInArrow(rare, "a bigint, b bigint, place int, word string")
+    found = others.join(table.select("word", F.col("ids").alias("found")), "word")
+    # equal blocks give equal parts at equal places, which the set takes once
+    lists = found.groupBy("a", "b").agg(F.collect_set(F.struct("place", "found")).alias("others"))
+    met = blocks.join(lists, ["a", "b"], "left").select("n_others", "ids", "lengths", "codes", "others")
+    names = _vocabulary(tokenizer)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        size_of, id_of, piece_of = np.append(sizes, 0), [*id_texts, b""], [*piece_texts, b""]
-        show = (lambda x: hashlib.sha256(x).hexdigest()) if digests else (lambda x: x.decode())
+        show = (lambda x: hashlib.sha256(x.encode()).hexdigest()) if digests else str
+        size_of = np.append(sizes, 0)
+        id_of, piece_of = ([*x.to_numpy(zero_copy_only=False), ""] for x in (id_texts, piece_texts))
         for batch in batches:
-            totals, ids_out, decoded_out = [], [], []
-            for packed, others in zip(batch.column(1).to_pylist(), batch.column(2)):
-                codes = _unplanes(zlib.decompress(packed))
-                numbers_of = codes.tolist()
-                ids, spelt, total = [id_of[c] for c in numbers_of], [piece_of[c] for c in numbers_of], int(size_of[codes].sum())
-                if others.is_valid:
-                    places = np.flatnonzero(codes == rare_number).tolist()
-                    for r in others.as_py():
-                        at = places[r["place"]]
-                        ids[at], spelt[at] = r["ids"].encode(), r["decoded"].encode()
-                        total += r["n_ids"]
+            for n, keys, lengths, packed, more in zip(*(batch.column(i) for i in range(5))):
+                codes = _unplanes(packed.as_py())
+                numbers, total = codes.tolist(), size_of[codes]
+                ids, spelt = [id_of[c] for c in numbers], [piece_of[c] for c in numbers]
+                places = np.flatnonzero(codes == beyond)
+                came = more.as_py() if more.is_valid else []
+                if not len(places) == len(came) == n.as_py():
+                    raise RuntimeError("the texts were not read twice in the same blocks")
+                for r in came:
+                    at, of_part = places[r["place"]], r["found"].split()
+                    ids[at], spelt[at], total[at] = r["found"], " ".join([names[int(i)] for i in of_part]), len(of_part)
+                upto = np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_py(), "<i8"))])
+                sums = np.concatenate([[0], np.cumsum(total)])[upto]
+                spans = list(zip(upto.tolist(), upto[1:].tolist()))
                 # parts without ids, such as white space beyond ASCII, leave no gap
-                totals.append(total)
-                ids_out.append(show(b" ".join(filter(None, ids))))
-                decoded_out.append(show(b" ".join(filter(None, spelt))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(totals, pa.int64()), pa.array(ids_out, pa.string()), pa.array(decoded_out, pa.string())],
-                [id_col, "n_tokens", "ids", "decoded"],
-            )
+                joined = lambda x: pa.array([show(" ".join(filter(None, x[a:b]))) for a, b in spans], pa.string())
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.diff(sums)), joined(ids), joined(spelt)], [id_col, "n_tokens", "ids", "decoded"])
 
     return met.mapInArrow(assembled, f"`{id_col}` {kind}, n_tokens bigint, ids string, decoded string")
 
 
+def _vocabulary(tokenizer: str | None) -> list[str]:
+    """The piece of each id, for a vocabulary whose ids have no gap or few."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(tokenizer_path(tokenizer)).get_vocab(with_added_tokens=True)
+    out = [""] * (max(found.values()) + 1)
+    for piece, i in found.items():
+        out[i] = piece
+    return out
+
+
 def _planes(codes: np.ndarray) -> bytes:
     """The three low bytes of the numbers, byte place by byte place, which compresses better."""
     raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
     return raw[:, :3].T.tobytes()
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    low = np.frombuffer(data, np.uint8).reshape(3, -1)
+def _unplanes(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    low = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(3, -1)
     return low[0].astype(np.int64) | low[1].astype(np.int64) << 8 | low[2].astype(np.int64) << 16
