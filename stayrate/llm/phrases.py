@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import durable
-from stayrate.llm.tokens import coded, slices
+from stayrate.llm.tokens import slices, split_words
 
 LONGEST = 4
 #: One window in so many starts a chunk; the longest chunk without one.
@@ -40,11 +40,13 @@ BITS = 1 << 27
 #: Distinct items that a task holds before it hands them on.
 HELD = 400_000
 #: Parts of a language of which each gives its first phrases to the ranking.
-DEALT = 256
+DEALT = 64
 
-BREAK = "\n"
+#: Stands for the end of a piece; no word has it.
+BREAK = "."
+#: Bytes of chunks that a task looks at together.
+TOGETHER = 8_000_000
 UNKNOWN = "und"
-_SPACE = r"[\x20\x09]+"
 _ENDS = r"[.,;:!?\x0A-\x0D]+"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -66,15 +68,22 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a * _ODD + b)
 
 
-def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _named(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words and the number of each word among them."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    found = words.dictionary_encode()
+    return found.dictionary, np.asarray(found.indices, dtype=np.int64)
+
+
+def _list(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct tokens (words and breaks), the token of each position, and where each text's positions start."""
-    broken = pc.replace_substring_regex(texts, _ENDS, f" {BREAK} ")
-    lists = pc.split_pattern_regex(broken.cast(pa.large_string()), _SPACE)
-    flat, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()
-    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
-    upto = np.concatenate([[0], np.cumsum(full)])
-    distinct, codes = coded(flat.filter(pa.array(full)))
-    return distinct, codes, upto[offsets]
+    words, starts = split_words(pc.replace_substring_regex(texts, _ENDS, f" {BREAK} "))
+    return *_named(words), starts
 
 
 def _cuts(hashes: np.ndarray, starts: np.ndarray, trigger: int, furthest: int) -> np.ndarray:
@@ -104,9 +113,10 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
         for batch in batches:
             for part in slices(batch):
-                distinct, codes, starts = _split(pc.ascii_lower(part.column(1)))
+                tokens, codes, starts = _split(pc.ascii_lower(part.column(1)))
                 if not len(codes):
                     continue
+                distinct = _list(tokens)
                 at = _cuts(_hashes(distinct)[codes], starts, trigger, furthest)
                 owner = np.searchsorted(starts, at, side="right") - 1
                 ends = np.append(at[1:], len(codes))
@@ -136,18 +146,19 @@ class _Chunks:
     def __init__(self, batch: pa.RecordBatch) -> None:
         lists = pc.split_pattern(batch.column(1).cast(pa.large_string()), " ")
         offsets = np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()
-        self.names, self.codes = coded(lists.flatten())
+        self.names, self.codes = _named(lists.flatten())
         sizes = np.diff(offsets)
-        self.langs, lang = coded(batch.column(0))
+        self.langs, lang = _named(batch.column(0))
         self.lang = np.repeat(lang, sizes)
         self.times = np.repeat(np.asarray(batch.column(3)), sizes)
         within = np.arange(len(self.codes)) - np.repeat(offsets[:-1], sizes)
         self.own = within < np.repeat(np.asarray(batch.column(2), dtype=np.int64), sizes)
         self.left = np.repeat(offsets[1:], sizes) - np.arange(len(self.codes))
-        is_break = np.array([n == BREAK for n in self.names], bool)
-        self.word = ~is_break[self.codes] if len(self.codes) else np.zeros(0, bool)
-        # a word's hash is one of its language
-        self.hashes = _pairs(_hashes(self.langs)[self.lang], _hashes(self.names)[self.codes])
+        self.word = np.asarray(pc.not_equal(self.names, BREAK))[self.codes]
+
+    def hashes(self) -> np.ndarray:
+        """Hash of each token in its language."""
+        return _pairs(_hashes(_list(self.langs))[self.lang], _hashes(_list(self.names))[self.codes])
 
     def runs(self, n: int) -> np.ndarray:
         """Whether n words without a break start at a position of a chunk."""
@@ -156,34 +167,41 @@ class _Chunks:
             ok[: len(ok) - j] &= self.word[j:]
         return ok
 
+    def counts(self, at: np.ndarray, size: int, f: np.ndarray) -> pa.RecordBatch:
+        """Rows (lang, size, phrase, f) of the phrases of a size at some positions."""
+        words = [self.names.take(pa.array(self.codes[at + j])) for j in range(size)]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if size > 1 else words[0]
+        lang = self.langs.take(pa.array(self.lang[at]))
+        return _rows(lang, np.full(len(at), size, np.int32), phrase.cast(pa.string()), f)
+
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return slices(batch, 1)
+def _rows(lang: pa.Array, size: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(size, pa.int32()), phrase, pa.array(f, pa.int64())], ["lang", "size", "phrase", "f"])
 
 
-def _summed(held: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
-    langs, sizes, phrases = zip(*held)
-    arrays = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(list(held.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "size", "phrase", "f"])
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunks]:
+    """The chunks of consecutive batches, about ``TOGETHER`` bytes at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= TOGETHER:
+            yield _Chunks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held, size = [], 0
+    if held:
+        yield _Chunks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 _COUNTS = "lang string, size int, phrase string, f bigint"
 
 
-def _counted(chunks: DataFrame, count: Callable[[_Chunks, dict], None]) -> DataFrame:
-    """Rows (lang, size, phrase, f): what ``count`` puts into a dictionary, over all chunks."""
-    most = HELD
+def _counted(chunks: DataFrame, count: Callable[[_Chunks], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows (lang, size, phrase, f): the sums of what ``count`` gives for the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, str], int] = {}
-        for batch in batches:
-            for part in _parts(batch):
-                count(_Chunks(part), held)
-                if len(held) > most:
-                    yield _summed(held)
-                    held.clear()
-        if held:
-            yield _summed(held)
+        for some in _together(batches):
+            yield from count(some)
 
     found = chunks.select("lang", "chunk", "own", "n").mapInArrow(run, _COUNTS)
     return found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
@@ -192,16 +210,12 @@ def _counted(chunks: DataFrame, count: Callable[[_Chunks, dict], None]) -> DataF
 def words(chunks: DataFrame) -> DataFrame:
     """All words with their counts as rows (lang, 1, word, f), and per language their sum as (lang, 0, empty, f)."""
 
-    def count(c: _Chunks, held: dict) -> None:
-        counts = c.own & c.word
-        width = len(c.names)
-        key = c.lang[counts] * width + c.codes[counts]
-        distinct, at = np.unique(key, return_inverse=True)
-        sums = _sums(at, c.times[counts], len(distinct))
-        for k, n in zip(distinct.tolist(), sums.tolist()):
-            lang = c.langs[k // width]
-            held[lang, 1, c.names[k % width]] = held.get((lang, 1, c.names[k % width]), 0) + n
-            held[lang, 0, ""] = held.get((lang, 0, ""), 0) + n
+    def count(c: _Chunks) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(c.own & c.word)
+        _, first, number = np.unique(c.lang[at] * len(c.names) + c.codes[at], return_index=True, return_inverse=True)
+        yield c.counts(at[first], 1, _sums(number, c.times[at], len(first)))
+        totals = _sums(c.lang[at], c.times[at], len(c.langs))
+        yield _rows(c.langs, np.zeros(len(totals)), pa.array([""] * len(totals), pa.string()), totals)
 
     return _counted(chunks, count)
 
@@ -233,7 +247,7 @@ def _word_hashes(counted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = _pairs(_hashes(batch.column(0).to_pylist()), _hashes(batch.column(1).to_pylist()))
+            h = _pairs(*(_hashes(_list(batch.column(i))) for i in range(2)))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
     return counted.select("lang", "phrase").mapInArrow(run, "h bigint")
@@ -251,17 +265,16 @@ def _frequent_pairs(chunks: DataFrame, in_use: np.ndarray, least: int) -> DataFr
             n = _sums(at, np.concatenate(counts), len(distinct))
             return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["h", "f"])
 
-        for batch in batches:
-            for part in _parts(batch):
-                c = _Chunks(part)
-                often = _in(in_use, c.hashes)
-                at = np.flatnonzero(c.own & c.runs(2) & often & np.append(often[1:], False))
-                keys.append(_pairs(c.hashes[at], c.hashes[at + 1]))
-                counts.append(c.times[at])
-                size += len(at)
-                if size > most:
-                    yield out()
-                    keys, counts, size = [], [], 0
+        for c in _together(batches):
+            hashes = c.hashes()
+            often = _in(in_use, hashes)
+            at = np.flatnonzero(c.own & c.runs(2) & often & np.append(often[1:], False))
+            keys.append(_pairs(hashes[at], hashes[at + 1]))
+            counts.append(c.times[at])
+            size += len(at)
+            if size > most:
+                yield out()
+                keys, counts, size = [], [], 0
         if size:
             yield out()
 
@@ -272,25 +285,22 @@ def _frequent_pairs(chunks: DataFrame, in_use: np.ndarray, least: int) -> DataFr
 def _phrases(chunks: DataFrame, in_use: np.ndarray, paired: np.ndarray) -> DataFrame:
     """Rows (lang, size, phrase, f) of the phrases of frequent pairs of frequent words."""
 
-    def count(c: _Chunks, held: dict) -> None:
-        often = _in(in_use, c.hashes)
+    def count(c: _Chunks) -> Iterator[pa.RecordBatch]:
+        hashes = c.hashes()
+        often = _in(in_use, hashes)
         follows = c.runs(2) & often & np.append(often[1:], False)
         at = np.flatnonzero(follows)
-        follows[at] = _in(paired, _pairs(c.hashes[at], c.hashes[at + 1]))
+        follows[at] = _in(paired, _pairs(hashes[at], hashes[at + 1]))
         ok, group = follows, c.codes + c.lang * len(c.names)
         for size in range(2, LONGEST + 1):
             # number the phrases of this size from the numbers of the phrases without their last word
             at = np.flatnonzero(ok)
             if not len(at):
                 return
-            key = group[at] * len(c.names) + c.codes[at + size - 1]
-            _, first, number = np.unique(key, return_index=True, return_inverse=True)
+            _, first, number = np.unique(group[at] * len(c.names) + c.codes[at + size - 1], return_index=True, return_inverse=True)
             own = c.own[at]
             sums = _sums(number[own], c.times[at][own], len(first))
-            for i, n in zip(at[first].tolist(), sums.tolist()):
-                if n:
-                    entry = (c.langs[c.lang[i]], size, " ".join([c.names[x] for x in c.codes[i : i + size]]))
-                    held[entry] = held.get(entry, 0) + n
+            yield c.counts(at[first][sums > 0], size, sums[sums > 0])
             group = np.zeros(len(c.codes), np.int64)
             group[at] = number
             longer = np.zeros(len(ok), bool)
