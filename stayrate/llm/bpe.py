@@ -51,9 +51,12 @@ BLOCK = 1 << 17
 _LETTER = "a-zÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile("[!-~À-ſ]+")
 _UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
-#: A letter and a sign are never in one token; words that need not be cut.
-_BORDER = f"([{_LETTER}])([.,;:!?])"
-_ONE = f"^([{_LETTER}]+|[.,;:!?])$"
+#: A letter and a sign or digit after it are never in one token, but for the apostrophe; words that need not be cut.
+_SIGN = r"!-&(-/:-@\[-`{-~"
+_BORDER = f"([{_LETTER}])([0-9{_SIGN}])"
+_ONE = f"^([{_LETTER}]+|[{_SIGN}]+|[0-9])$"
+#: Bytes of text that a task cuts together.
+TOGETHER = 4_000_000
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -84,14 +87,14 @@ def units(word: str) -> list[str]:
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct parts, the part of each position, and where each text's positions start (one more entry than texts).
 
-    Case matters only inside what could be a special token.
+    A text that may hold a special token is cut at white space first, with its case.
     """
-    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-    words, starts = split_words(pc.replace_substring_regex(texts, _BORDER, r"\1 \2"))
+    bordered = pc.replace_substring_regex(pc.ascii_lower(texts), _BORDER, r"\1 \2")
+    words, starts = split_words(pc.if_else(pc.match_substring(texts, "<|"), texts, bordered))
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     found = words.dictionary_encode()
-    distinct, codes = found.dictionary, np.asarray(found.indices, dtype=np.int64)
+    distinct, codes = found.dictionary, np.asarray(found.indices)
     more = np.flatnonzero(~np.asarray(pc.match_substring_regex(distinct, _ONE)))
     if not len(more):
         return distinct, codes, starts
@@ -105,13 +108,14 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     cut_up = np.zeros(len(distinct), bool)
     cut_up[more] = True
     pool[np.repeat(cut_up, sizes)] = len(distinct) + np.arange(len(whole) - len(distinct))
+    named = pa.array(whole, pa.large_string()).dictionary_encode()
+    pool = np.asarray(named.indices)[pool]
     lengths = sizes[codes]
     upto = np.concatenate([[0], np.cumsum(lengths)])
     flat = pool[np.repeat(begins[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
-    named = pa.array(whole, pa.large_string()).dictionary_encode()
-    flat = np.asarray(named.indices, dtype=np.int64)[flat]
-    used = np.unique(flat)
-    return named.dictionary.take(pa.array(used)), np.searchsorted(used, flat), upto[starts]
+    used = np.zeros(len(named.dictionary), bool)
+    used[flat] = True
+    return named.dictionary.filter(pa.array(used)), (np.cumsum(used) - 1)[flat], upto[starts]
 
 
 def word_table(texts: DataFrame) -> DataFrame:
@@ -125,13 +129,13 @@ def word_table(texts: DataFrame) -> DataFrame:
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TOGETHER):
                 distinct, flat, _ = cut(part.column(0))
                 counts = np.bincount(flat, minlength=len(distinct))
                 held.append(pa.table({"word": distinct.cast(pa.string()), "n": pa.array(counts, pa.int64())}))
-                if sum(t.num_rows for t in held) > 4 * most:
+                if sum(t.num_rows for t in held) > 2 * most:
                     held = [summed()]
-                    if held[0].num_rows > 2 * most:
+                    if held[0].num_rows > most:
                         yield from held[0].combine_chunks().to_batches()
                         held = []
         if held:
@@ -170,10 +174,10 @@ def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
 def decode(rows: DataFrame, key: str, spark: SparkSession, tokenizer: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, n_ids, ids, decoded) for rows with a unique ``key`` and ``ids``: the pieces of the ids with a space between.
 
-    The vocabulary is of a fixed size and goes to every task. ``keep`` names columns to carry along. Rows that are dealt by
-    the key already do not move.
+    The vocabulary is of a fixed size and goes to every task. ``keep`` names columns to carry along. Rows move once, before
+    their ids become rows.
     """
-    each = rows.select(key, *keep, F.posexplode_outer("ids").alias("pos", "token"))
+    each = rows.repartition(key).select(key, *keep, F.posexplode_outer("ids").alias("pos", "token"))
     met = each.join(F.broadcast(pieces(spark, tokenizer)), "token", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token", "piece"))))
     whole = met.groupBy(key, *keep).agg(ordered.alias("p"))
@@ -209,7 +213,7 @@ class _Blocks:
         import xxhash
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1, TOGETHER):
                 distinct, flat, starts = cut(part.column(1))
                 numbers = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=self.known), len(self.known)), dtype=np.uint32)
                 a = 0

@@ -22,13 +22,13 @@ _PER_CALL = 1000
 REMEMBERED = 400_000
 
 
-def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with bounded text."""
     sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), dtype=float))
     upto = np.concatenate([[0.0], np.cumsum(sizes)])
     start = 0
     while start < batch.num_rows:
-        end = int(np.searchsorted(upto, upto[start] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(upto, upto[start] + most, side="right")) - 1
         end = min(max(end, start + 1), start + SLICE_ROWS, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
