@@ -189,7 +189,7 @@ def _lexicon(table: DataFrame) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array
     """The most frequent parts, their counts of ids, and their ids and pieces as text, within the bounds."""
     size = F.octet_length("word") + F.octet_length("ids") + F.octet_length("decoded")
     step = F.floor(F.log2("n") * 64).cast("int")
-    short = table.where(F.octet_length("word") <= LEXICON_LONGEST).select("word", "n_ids", "ids", "decoded", size.alias("bytes"), step.alias("step"))
+    short = table.where(F.octet_length("word") <= LEXICON_LONGEST).select("word", "n", "n_ids", "ids", "decoded", size.alias("bytes"), step.alias("step"))
     # some 4,000 steps of counts at most: all words from the least step on that still fits
     least, words, total = 1 << 20, 0, 0
     for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("w"), F.sum("bytes").alias("b")).collect(), reverse=True):
@@ -197,7 +197,8 @@ def _lexicon(table: DataFrame) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array
         if words > LEXICON_WORDS or total > LEXICON_BYTES:
             break
         least = r["step"]
-    top = short.where(F.col("step") >= least).select("word", "n_ids", "ids", "decoded").toArrow()
+    top = short.where(F.col("step") >= least).select("word", "n", "n_ids", "ids", "decoded").toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
     text = lambda c: top[c].cast(pa.large_string()).combine_chunks()
     return text("word"), top["n_ids"].to_numpy().astype(np.int64), text("ids"), text("decoded")
 
