@@ -142,6 +142,24 @@ def precision_at_k(df: DataFrame, k: int = 500, y: str = "y", p: str = "p", key:
     return ranking_at_k(df, [k], y, p, key).select("k", "precision_at_k")
 
 
+def fold_metrics(df: DataFrame, y: str, p: str, key: str, fold: str, k: int, bins: int = CALIBRATION_BINS) -> DataFrame:
+    """Curve metrics, precision among the k highest scores and calibration error of every fold, all folds in one run."""
+    rows = df.select(fold, key, F.col(y).cast("bigint").alias("y"), F.col(p).cast("double").alias("p"))
+    ranked = number_rows(rows, [F.col("p").desc(), F.col(key).asc()], [fold], "rank", "n")
+    spots = [(F.col("n") - 1) * F.lit(i / bins) for i in range(bins + 1)]
+    at = lambda spot: F.max(F.when(F.col("n") - F.col("rank") == spot, F.col("p")))
+    edges = [at(F.floor(h)) + (at(F.ceil(h)) - at(F.floor(h))) * F.max(h - F.floor(h)) for h in spots]
+    tops = ranked.groupBy(fold).agg(
+        F.avg(F.when(F.col("rank") <= k, F.col("y"))).alias("precision_at_k"), F.array_distinct(F.array(*edges)).alias("edges")
+    )
+    passed = F.filter(F.slice("edges", F.lit(2), F.size("edges")), lambda e: e < F.col("p"))
+    binned = rows.join(tops.select(fold, "edges"), fold).groupBy(fold, F.size(passed).alias("bin"))
+    gaps = binned.agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg(F.col("y").cast("double"))).alias("gap"))
+    ece = gaps.groupBy(fold).agg(safe_div(F.sum(F.col("n") * F.col("gap")), F.sum("n")).alias("ece"))
+    whole = score_metrics(rows, "y", "p", [fold])
+    return whole.join(tops.drop("edges"), fold).join(ece, fold)
+
+
 def threshold_capacity(
     df: DataFrame, quantiles: Sequence[float] = THRESHOLD_QUANTILES, y: str = "y", p: str = "p"
 ) -> DataFrame:
