@@ -94,7 +94,9 @@ def history_table(
     )
 
 
-def training_panel(src: Sources, p: Params, full_history: bool = False, **options) -> DataFrame:
+def training_panel(
+    src: Sources, p: Params, full_history: bool = False, calendar: DataFrame | None = None, **options
+) -> DataFrame:
     """Forward panel straight from the source tables.
 
     ``full_history`` builds as many periods as the oldest event needs, so that no lag is missing only
@@ -102,7 +104,7 @@ def training_panel(src: Sources, p: Params, full_history: bool = False, **option
     """
     snapshot = activity.activity_snapshot(src.orders_nested, src.slots, p)
     depth = p.but(n_periods=p.n_periods + p.max_offset) if full_history else p
-    return panel.forward_event_panel(history_table(src, depth), snapshot, p, unique_riders=True, **options)
+    return panel.forward_event_panel(history_table(src, depth, calendar=calendar), snapshot, p, unique_riders=True, **options)
 
 
 def score_week(panel_rows: DataFrame, model: PipelineModel, week: str = "event_week") -> DataFrame:

@@ -13,6 +13,7 @@ from stayrate.functions.rules import (
     DRIVER_OF_FEATURE,
     DRIVER_PLAYBOOK,
     OWNER_KEYWORDS,
+    PER_ORDER_METRICS,
     PROTECTIVE_KEYWORDS,
     REASON_LABELS,
     THRESHOLD_QUANTILES,
@@ -623,7 +624,15 @@ def per_order_sql(numerators=("total_earnings", "no_shows")) -> tuple[str, str]:
     return sql, " ".join(f"r:{m}_per_order_W{k}" for m, k in names)
 
 
-def trend_sql(families) -> tuple[str, str]:
+def least_squares(f: str) -> str:
+    """The slope over the known values of a family, oldest first, written out: many of them in one row are too slow as subqueries."""
+    y = [f"{f}_W{7 - x}" for x in range(8)]
+    n, sx, sxx = ("(" + " + ".join(f"(CASE WHEN {v} IS NULL THEN 0.0 ELSE {float(x**e)} END)" for x, v in enumerate(y)) + ")" for e in (0, 1, 2))
+    sy, sxy = ("(" + " + ".join(f"COALESCE({float(x**e)} * CAST({v} AS DOUBLE), 0.0)" for x, v in enumerate(y)) + ")" for e in (0, 1))
+    return f"CASE WHEN {n} >= 3 THEN ({sxy} - {sx} * {sy} / {n}) / ({sxx} - {sx} * {sx} / {n}) END"
+
+
+def trend_sql(families, written_out: bool = False) -> tuple[str, str]:
     sql, spec = [], []
     for f in families:
         for k in range(7):
@@ -631,9 +640,8 @@ def trend_sql(families) -> tuple[str, str]:
             sql += [f"{a} - {b} AS {f}_wow_delta_W{k}_W{k + 1}", f"({a} - {b}) / NULLIF({b}, 0) AS {f}_wow_pct_change_W{k}_W{k + 1}"]
             spec += [f"r:{f}_wow_delta_W{k}_W{k + 1}", f"r:{f}_wow_pct_change_W{k}_W{k + 1}"]
         points = ", ".join(f"({x}.0, CAST({f}_W{7 - x} AS DOUBLE))" for x in range(8))
-        sql.append(
-            f"(SELECT CASE WHEN COUNT(y) >= 3 THEN regr_slope(y, x) END FROM (VALUES {points}) v(x, y)) AS {f}_trend_slope_8w"
-        )
+        slope = f"(SELECT CASE WHEN COUNT(y) >= 3 THEN regr_slope(y, x) END FROM (VALUES {points}) v(x, y))"
+        sql.append(f"{least_squares(f) if written_out else slope} AS {f}_trend_slope_8w")
         spec.append(f"r:{f}_trend_slope_8w")
     return ", ".join(sql), " ".join(spec)
 
@@ -691,6 +699,71 @@ add(
         FROM p, c GROUP BY 1)""",
 )
 
+# all families with the derived columns
+_ALL_PO, _ALL_PO_SPEC = per_order_sql(PER_ORDER_METRICS)
+_ALL_TR, _ALL_TR_SPEC = trend_sql(WEEKLY_METRICS, True)
+_BOTH_TR, _BOTH_TR_SPEC = trend_sql((*WEEKLY_METRICS, *(f"{m}_per_order" for m in PER_ORDER_METRICS)), True)
+WEEKLY_SPEC = " ".join(kind(m).replace(m, f"{m}_W{k}") for m in WEEKLY_METRICS for k in range(8))
+STABLE_SPEC = "rider_id country_code city_code zone_name vehicle_name segment d:week_of_churn d:anchor_week"
+ALL_WITH = feature_ctes() + f",\nx AS ({pivot_sql(WEEKLY_METRICS)})"
+add("per_order_all", ALL_WITH, f"{STABLE_SPEC} {WEEKLY_SPEC} {_ALL_PO_SPEC}", f"(SELECT *, {_ALL_PO} FROM x)")
+add("wow_trends_all", ALL_WITH, f"{STABLE_SPEC} {WEEKLY_SPEC} {_ALL_TR_SPEC}", f"(SELECT *, {_ALL_TR} FROM x)")
+_KEPT = "country_code city_code zone_name vehicle_name segment_feat d:anchor_week"
+add(
+    "labelled_cross_section_all",
+    ALL_WITH + f",\nsn AS ({snapshot_cte('quarter', 2250)}),\nxo AS (SELECT *, {_ALL_PO} FROM x)",
+    f"rider_id i:is_churned segment i:tenure_days {_KEPT} {WEEKLY_SPEC} {_ALL_PO_SPEC} {_BOTH_TR_SPEC}",
+    f"""(SELECT sn.rider_id, sn.is_churned, sn.segment, sn.tenure_days, xo.segment AS segment_feat, xo.* EXCLUDE (rider_id, segment), {_BOTH_TR}
+        FROM sn LEFT JOIN xo ON xo.rider_id = sn.rider_id)""",
+)
+
+
+def panel_all(max_offset: int, delay: int, depth: int) -> str:
+    """The panel of all families, then its ratios."""
+    snapshot = f",\nsn AS ({snapshot_cte('quarter', 2250)})"
+    return f"{feature_ctes(depth)}{snapshot},\np AS ({panel_sql(WEEKLY_METRICS, 2, max_offset, delay, depth)}),\nq AS (SELECT *, {_ALL_PO} FROM p)"
+
+
+PANEL_ALL_SPEC = (
+    "rider_id segment r:tenure_days d:event_week i:is_churned "
+    + " ".join(f"r:{m}_W{k}" for m in WEEKLY_METRICS for k in range(8))
+    + f" {_ALL_PO_SPEC} {_BOTH_TR_SPEC}"
+)
+add("forward_panel_all", panel_all(6, 0, 8), PANEL_ALL_SPEC, f"(SELECT *, {_BOTH_TR} FROM q)")
+add(
+    "forward_panel_full_history_all",
+    panel_all(6, 1, 14),
+    PANEL_ALL_SPEC,
+    f"(SELECT q.* REPLACE (tenure_days - {days(AS_OF, 'event_week')} AS tenure_days), {_BOTH_TR} FROM q)",
+)
+
+# folds of the rolling backtest: every period with both classes before it
+_FOLDS = """,
+z AS (SELECT event_week AS t, COUNT(*) AS rows, SUM(is_churned) AS pos FROM p GROUP BY 1),
+f AS (SELECT z.t, z.rows AS test_rows, z.pos AS test_pos, MIN(b.t) AS train_start_week, MAX(b.t) AS train_end_week,
+  SUM(b.rows) AS train_rows, SUM(b.pos) AS train_pos FROM z JOIN z b ON b.t < z.t GROUP BY 1, 2, 3
+  HAVING SUM(b.pos) > 0 AND SUM(b.pos) < SUM(b.rows))"""
+_PANEL_ALL = panel_all(6, 0, 8)
+add(
+    "backtest_folds",
+    _PANEL_ALL + _FOLDS,
+    "d:test_week d:train_start_week d:train_end_week i:train_rows i:test_rows r:positive_rate_train r:positive_rate_test",
+    "(SELECT t AS test_week, *, train_pos / train_rows::DOUBLE AS positive_rate_train, test_pos / test_rows::DOUBLE AS positive_rate_test FROM f)",
+)
+_LAGS = ", ".join(f"CAST({m}_W{k} AS DOUBLE) AS {m}_W{k}" for m in WEEKLY_METRICS for k in range(8))
+add(
+    "fold_fillings",
+    _PANEL_ALL
+    + _FOLDS
+    + f""",
+pv AS (SELECT event_week, {_LAGS} FROM p),
+c AS (SELECT * FROM pv UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (event_week))))),
+m AS (SELECT f.t, feature, quantile_cont(v, 0.5) AS median FROM f JOIN c ON c.event_week < f.t GROUP BY 1, 2)""",
+    "d:test_week feature r:median r:mean r:deviation",
+    """(SELECT m.t AS test_week, m.feature, m.median, AVG(COALESCE(v, m.median)) AS mean, STDDEV_POP(COALESCE(v, m.median)) AS deviation
+        FROM m JOIN c ON c.feature = m.feature AND c.event_week < m.t WHERE m.median IS NOT NULL GROUP BY 1, 2, 3)""",
+)
+
 # ---- evaluation ----------------------------------------------------------------------------------
 
 SCORES = """SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, LEAST(value / 500, 1.0::DOUBLE) AS p,

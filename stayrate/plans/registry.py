@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from stayrate.functions import common
 from stayrate.functions.ordering import durable
+from stayrate.functions.rules import WEEKLY_METRICS
 from stayrate.operators import activity, correlate, drift, evaluate, features, lifetime, ml, panel, score, weekly
 from stayrate.params import Params
 from stayrate.plans import build
@@ -454,7 +455,9 @@ def forward_panel_full_history(star):
 @query
 def forward_panel_full_history_all(star):
     """The panel with all families, derived columns and offsets, its lags filled from the longer history."""
-    return build.training_panel(roles.sources(star), QUARTER, full_history=True, tenure_at_event=True, label_delay_periods=1)
+    return build.training_panel(
+        roles.sources(star), QUARTER, full_history=True, calendar=roles.order_day_calendar(star), tenure_at_event=True, label_delay_periods=1
+    )
 
 
 @query
@@ -846,6 +849,19 @@ def rolling_backtest(star):
     return ml.rolling_backtest(rows, lambda: ml.candidate_models()["logistic_regression"], "logistic_regression")
 
 
+@query
+def backtest_folds(star):
+    """Periods, sizes and rates of the folds of the rolling backtest."""
+    return ml.backtest_folds(_panel(star, _wide_all(star), unique_riders=True, derive=False))
+
+
+@query
+def fold_fillings(star):
+    """What every fold fills and scales the weekly columns with, from facts per period."""
+    rows = durable(_panel(star, _wide_all(star), unique_riders=True, derive=False))
+    return ml.fold_fillings(rows, [f"{m}_W{k}" for m in WEEKLY_METRICS for k in range(8)])
+
+
 @query
 def csv_roundtrip(star):
     snapshot = activity.activity_snapshot(roles.orders_nested(star), roles.slots(star), WEEK)
