@@ -107,12 +107,16 @@ def training_panel(
     return panel.forward_event_panel(history_table(src, depth, calendar=calendar), snapshot, p, unique_riders=True, **options)
 
 
+def rank_week(panel_rows: DataFrame, model: PipelineModel, week: str = "event_week", keep: Sequence[str] | None = None) -> DataFrame:
+    """Score the newest event period and rank it; ``keep`` names the columns to go on with, all if left out."""
+    newest = panel_rows.agg(F.max(week).alias("m")).first()["m"]
+    scored = ml.score(model, panel_rows.where(F.col(week) == F.lit(newest)))
+    return score.rank_rows(scored.select(*keep, score.PROB) if keep else scored)
+
+
 def score_week(panel_rows: DataFrame, model: PipelineModel, week: str = "event_week") -> DataFrame:
     """Score the newest event period, rank it and explain it."""
-    newest = panel_rows.agg(F.max(week).alias("m")).first()["m"]
-    current = panel_rows.where(F.col(week) == F.lit(newest))
-    ranked = score.rank_rows(ml.score(model, current))
-    return with_drivers(ranked)
+    return with_drivers(rank_week(panel_rows, model, week))
 
 
 def with_drivers(ranked: DataFrame) -> DataFrame:

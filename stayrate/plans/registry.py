@@ -830,7 +830,8 @@ def ml_train_score(star):
     best = ml.best_candidate(fitted)
     folder = sinks.work_folder(star.spark, "model")
     ml.save_model(best.model, folder)
-    return build.score_week(rows, ml.load_model(folder)).select("rider_id", "churn_probability", "risk_rank", "event_week")
+    ranked = build.rank_week(rows, ml.load_model(folder), keep=["rider_id", "event_week"])
+    return ranked.select("rider_id", "churn_probability", "risk_rank", "event_week")
 
 
 @query
