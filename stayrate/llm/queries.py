@@ -53,7 +53,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited version, and their likenesses.
 
     Each text asks the next one (by descending id) for the part that replaces its end. Texts are shuffled once by id and
-    hash; from then on only the lent parts move. Equal rows are one text with a number of copies: the last copy asks
+    hash, for both joins; from then on only the lent parts move. Equal rows are one text with a number of copies: the last copy asks
     the next text, the others ask the text itself.
     """
     key = ["id", "mark"]
@@ -64,13 +64,14 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = number_rows(distinct, [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()], total="all")
     askers = placed.select(
         (F.col("row_no") % F.col("all") + 1).alias("next"), F.col("id").alias("a_id"), F.col("mark").alias("a_mark"),
-        F.col("n").alias("a_n"), "copies",
+        F.col("doc_id").alias("a_doc"), F.col("n").alias("a_n"), "copies",
     )
     asks = placed.select(*key, F.col("row_no").alias("next")).join(askers, "next").drop("next")
-    texts = docs.dropDuplicates(key).select("doc_id", *key, "text")
+    # the same columns on both sides, so that the second join reads the first one's exchange
+    texts = docs.select(*key, "text").dropDuplicates(key)
     third = lambda n: F.floor(F.col(n) / 3).cast("int")
     lent = texts.join(asks, key).select(
-        F.col("a_id").alias("id"), F.col("a_mark").alias("mark"), F.col("a_n").alias("n"), "copies",
+        F.col("a_doc").alias("doc_id"), F.col("a_id").alias("id"), F.col("a_mark").alias("mark"), F.col("a_n").alias("n"), "copies",
         F.substring("text", F.lit(1), third("a_n")).alias("end"), fingerprint.digests(F.col("text")).alias("lent_digests"),
     )
     own = texts.join(lent, key).select("*", fingerprint.digests(F.col("text")).alias("digests"))
