@@ -19,6 +19,8 @@ columns, so names never clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,26 +56,29 @@ def _spread(digest: Column, seed: Column | None) -> Column:
 
 
 def _cell(bits: Column, table: int) -> Column:
-    """The cell in a table, counted through all tables."""
-    return (F.shiftright(bits, 7 + 16 * table).bitwiseAND(F.lit(CELLS - 1)) + table * CELLS).cast("int")
+    """The cell in a table."""
+    return F.shiftright(bits, 7 + 16 * table).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+
 
+def _cells(bits: Column) -> list[Column]:
+    """The cells of a digest as fields t0, t1 and so on."""
+    return [_cell(bits, t).alias(f"t{t}") for t in range(TABLES)]
 
-def _at(bits: Column, i: Column) -> Column:
-    hit = _cell(bits, 0) == i
-    for t in range(1, TABLES):
-        hit = hit | (_cell(bits, t) == i)
-    return hit
+
+def _per_cell(body: Callable[[Column, str], Column]) -> Column:
+    """What ``body`` makes of each cell of each table, in one array; it gets the cell and the name of its table's field."""
+    one = lambda t: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: body(i, t))
+    return F.concat(*[one(f"t{t}") for t in range(TABLES)])
 
 
 def sketch(found: Column, seed: Column | None = None) -> Column:
     """Cells (n, k, c) of an array of digests."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c"))
-    placed = F.transform(found, lambda d: F.struct(d.alias("k"), _spread(d, seed).alias("at"), _check(d).alias("c")))
+    placed = F.transform(found, lambda d: F.struct(d.alias("k"), _check(d).alias("c"), *_cells(_spread(d, seed))))
     add = lambda a, d: F.struct(
         (a["n"] + 1).alias("n"), a["k"].bitwiseXOR(d["k"]).alias("k"), a["c"].bitwiseXOR(d["c"]).alias("c")
     )
-    cells = F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1))
-    return let(placed, lambda p: F.transform(cells, lambda i: F.aggregate(F.filter(p, lambda d: _at(d["at"], i)), empty, add)))
+    return let(placed, lambda p: _per_cell(lambda i, t: F.aggregate(F.filter(p, lambda d: d[t] == i), empty, add)))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -96,8 +101,11 @@ def peeled(cells: Column, seed: Column | None = None) -> Column:
         less = lambda a, p: F.struct(
             (a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["c"].bitwiseXOR(p["c"]).alias("c")
         )
-        placed = F.transform(pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c"), _spread(p["k"], seed).alias("at")))
-        rest = let(placed, lambda q: F.transform(state["cells"], lambda x, i: F.aggregate(F.filter(q, lambda p: _at(p["at"], i)), x, less)))
+        placed = F.transform(
+            pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c"), *_cells(_spread(p["k"], seed)))
+        )
+        of = lambda i, t: F.get(state["cells"], i + int(t[1:]) * CELLS)
+        rest = let(placed, lambda q: _per_cell(lambda i, t: F.aggregate(F.filter(q, lambda p: p[t] == i), of(i, t), less)))
         got = F.transform(pure, lambda p: F.struct(p["k"].alias("digest"), p["n"].cast("int").alias("side")))
         return F.struct(rest.alias("cells"), F.concat(state["d"], got).alias("d"))
 
