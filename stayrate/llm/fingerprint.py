@@ -19,8 +19,6 @@ columns, so names never clash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,20 +53,17 @@ def _spread(digest: Column, seed: Column | None) -> Column:
     return digest if seed is None else F.xxhash64(digest, F.lit(2), seed)
 
 
-def _cell(bits: Column, table: int) -> Column:
-    """The cell in a table."""
-    return F.shiftright(bits, 7 + 16 * table).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-
-
 def _cells(bits: Column) -> list[Column]:
-    """The cells of a digest as fields t0, t1 and so on."""
-    return [_cell(bits, t).alias(f"t{t}") for t in range(TABLES)]
+    """The cells of a digest, one of each table, counted through all tables, as fields t0, t1 and so on."""
+    place = lambda t: F.shiftright(bits, 7 + 16 * t).bitwiseAND(F.lit(CELLS - 1)) + t * CELLS
+    return [place(t).cast("int").alias(f"t{t}") for t in range(TABLES)]
 
 
-def _per_cell(body: Callable[[Column, str], Column]) -> Column:
-    """What ``body`` makes of each cell of each table, in one array; it gets the cell and the name of its table's field."""
-    one = lambda t: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: body(i, t))
-    return F.concat(*[one(f"t{t}") for t in range(TABLES)])
+def _at(placed: Column, i: Column) -> Column:
+    hit = placed["t0"] == i
+    for t in range(1, TABLES):
+        hit = hit | (placed[f"t{t}"] == i)
+    return hit
 
 
 def sketch(found: Column, seed: Column | None = None) -> Column:
@@ -78,7 +73,8 @@ def sketch(found: Column, seed: Column | None = None) -> Column:
     add = lambda a, d: F.struct(
         (a["n"] + 1).alias("n"), a["k"].bitwiseXOR(d["k"]).alias("k"), a["c"].bitwiseXOR(d["c"]).alias("c")
     )
-    return let(placed, lambda p: _per_cell(lambda i, t: F.aggregate(F.filter(p, lambda d: d[t] == i), empty, add)))
+    cells = F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1))
+    return let(placed, lambda p: F.transform(cells, lambda i: F.aggregate(F.filter(p, lambda d: _at(d, i)), empty, add)))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -104,8 +100,7 @@ def peeled(cells: Column, seed: Column | None = None) -> Column:
         placed = F.transform(
             pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c"), *_cells(_spread(p["k"], seed)))
         )
-        of = lambda i, t: F.get(state["cells"], i + int(t[1:]) * CELLS)
-        rest = let(placed, lambda q: _per_cell(lambda i, t: F.aggregate(F.filter(q, lambda p: p[t] == i), of(i, t), less)))
+        rest = let(placed, lambda q: F.transform(state["cells"], lambda x, i: F.aggregate(F.filter(q, lambda p: _at(p, i)), x, less)))
         got = F.transform(pure, lambda p: F.struct(p["k"].alias("digest"), p["n"].cast("int").alias("side")))
         return F.struct(rest.alias("cells"), F.concat(state["d"], got).alias("d"))
 
