@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -51,8 +52,22 @@ def coded(words: pa.Array) -> tuple[list[str], np.ndarray]:
     return found.dictionary.to_pylist(), np.asarray(found.indices, dtype=np.int64)
 
 
+#: Fixed value: the pattern by which a tokenizer file cuts the parts that words can share.
+_SHARED_CUT = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def shares_parts(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and cuts words as ``_PART`` does, so that texts can be put together from parts."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    cut = (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+    return steps == ["NFC", "Replace", "Lowercase"] and cut and first["pattern"].get("Regex", "").endswith(_SHARED_CUT)
+
+
 class Encoder:
-    """Token ids by a tokenizer that never joins text across white space."""
+    """Token ids of texts: from parts that words share where the tokenizer file allows it, else of each whole text."""
 
     def __init__(self, path: str | None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,6 +78,7 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.from_parts = shares_parts(path)
         self.words: dict[str, np.ndarray] = {}
         self.parts: dict[str, np.ndarray] = {}
 
@@ -94,6 +110,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        if not self.from_parts:
+            for text in pc.fill_null(texts, "").to_pylist():
+                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+            return
         words, starts = split_words(texts)
         distinct, codes = coded(words)
         ids = self._ids(distinct)
