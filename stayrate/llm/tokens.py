@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -49,13 +50,14 @@ def coded(words: pa.Array) -> tuple[list[str], np.ndarray]:
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     found = words.dictionary_encode()
-    return found.dictionary.to_pylist(), np.asarray(found.indices, dtype=np.int64)
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(found.indices, dtype=np.int64)
 
 
 #: Fixed value: the pattern by which a tokenizer file cuts the parts that words can share.
 _SHARED_CUT = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+@functools.cache
 def shares_parts(path: str) -> bool:
     """Whether a tokenizer file lower-cases, drops white space and cuts words as ``_PART`` does, so that texts can be put together from parts."""
     with open(path, encoding="utf-8") as f:
