@@ -22,8 +22,9 @@ HEAD = 4096
 HEAD_CLASSES = 48
 TAIL_CLASSES = 32
 WIDTH = 16
-#: Texts read side by side, and steps of a window.
+#: Texts read side by side in learning and in scoring (which gives the same scores at any number), and steps of a window.
 LANES = 256
+SCORED_LANES = 768
 STEPS = 32
 END = ""
 
@@ -89,8 +90,9 @@ class Net:
         return net
 
 
-def _gate(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _steep(weights: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether a score could be too large for its exponential. States lie between -1 and 1, which bounds all scores."""
+    return len(biases) > 0 and float((np.abs(weights).sum(axis=1) + np.abs(biases)).max()) > 60
 
 
 class Text:
@@ -145,15 +147,16 @@ class Reader:
     def __init__(self, v: Vocabulary, net: Net, rate: float = 0.0) -> None:
         self.v, self.net, self.rate = v, net, rate
         self.queue: deque[Text] = deque()
-        self.lanes: list[Text | None] = [None] * LANES
-        self.state = np.zeros((LANES, WIDTH), np.float32)
+        self.width = LANES if rate else SCORED_LANES
+        self.lanes: list[Text | None] = [None] * self.width
+        self.state = np.zeros((self.width, WIDTH), np.float32)
         self.mean, self.squares, self.steps = np.zeros_like(net.vector), np.zeros_like(net.vector), 0
         self.seen = 0
 
     def add(self, text: Text) -> Iterator[Text]:
         self.queue.append(text)
         self.seen += len(text.c)
-        while len(self.queue) >= LANES:
+        while len(self.queue) >= self.width:
             yield from self._window()
 
     def finish(self) -> Iterator[Text]:
@@ -161,14 +164,14 @@ class Reader:
             yield from self._window()
 
     def _window(self) -> list[Text]:
-        x = np.zeros((STEPS, LANES), np.int64)
-        c = np.zeros((STEPS, LANES), np.int64)
-        w = np.full((STEPS, LANES), -1, np.int64)
-        used = np.zeros((STEPS, LANES), bool)
-        keep = np.ones((STEPS, LANES, 1), np.float32)
+        x = np.zeros((STEPS, self.width), np.int64)
+        c = np.zeros((STEPS, self.width), np.int64)
+        w = np.full((STEPS, self.width), -1, np.int64)
+        used = np.zeros((STEPS, self.width), bool)
+        keep = np.ones((STEPS, self.width, 1), np.float32)
         parts, ended = [], []
         busy = 0
-        for lane in range(LANES):
+        for lane in range(self.width):
             t = 0
             while t < STEPS:
                 text = self.lanes[lane]
@@ -189,7 +192,7 @@ class Reader:
                     self.lanes[lane] = None
             if t:
                 busy = lane + 1
-        if busy < LANES:
+        if busy < self.width:
             x, c, w, used, keep = x[:, :busy], c[:, :busy], w[:, :busy], used[:, :busy], keep[:, :busy]
         logs = self._run(x, c, w, used, keep)
         if self.rate == 0:
@@ -197,108 +200,141 @@ class Reader:
             for text, lane, a, b in parts:
                 text.score += upto[b, lane] - upto[a, lane]
         # busy lanes move to the front, so that the last texts are read in narrow windows
-        order = sorted(range(LANES), key=lambda i: self.lanes[i] is None)
+        order = sorted(range(self.width), key=lambda i: self.lanes[i] is None)
         self.lanes = [self.lanes[i] for i in order]
         self.state = self.state[order]
         return ended
 
     def _run(self, x: np.ndarray, c: np.ndarray, w: np.ndarray, used: np.ndarray, keep: np.ndarray) -> np.ndarray:
-        """Natural log of each token's class probability, times that inside the class for frequent tokens."""
+        """Natural log of each token's class probability, times that inside the class for frequent tokens.
+
+        Scores lie with one row per class or token, so that sums and maxima run along the texts.
+        """
         net, v, h = self.net, self.v, WIDTH
         steps, lanes = x.shape
-        inputs = net.E[x]
-        gates = inputs @ net.Wx + net.b
+        inputs = net.E.take(x, axis=0)
+        gates = inputs @ net.Wx
+        gates += net.b
         state = self.state[:lanes]
-        states = np.empty((steps, lanes, h), np.float32)
-        before, zs, rs, ns, hn = [], [], [], [], []
+        states, before, ns, hn = (np.empty((steps, lanes, h), np.float32) for _ in range(4))
+        zrs = np.empty((steps, lanes, 2 * h), np.float32)
         for t in range(steps):
-            state = state * keep[t]
+            state = before[t] = state * keep[t]
             a = state @ net.Wh
-            zr = _gate(gates[t, :, : 2 * h] + a[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(gates[t, :, 2 * h :] + r * a[:, 2 * h :])
-            if self.rate:
-                before.append(state), zs.append(z), rs.append(r), ns.append(n), hn.append(a[:, 2 * h :])
-            state = n + z * (state - n)
+            zr = zrs[t]
+            np.add(gates[t, :, : 2 * h], a[:, : 2 * h], out=zr)
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            hn[t] = a[:, 2 * h :]
+            n = ns[t]
+            np.multiply(zr[:, h:], hn[t], out=n)
+            n += gates[t, :, 2 * h :]
+            np.tanh(n, out=n)
+            state = n + zr[:, :h] * (state - n)
             states[t] = state
         self.state[:lanes] = state
 
         flat = states.reshape(-1, h)
         fc, fw, fu = c.ravel(), w.ravel(), used.ravel()
-        scores = flat @ net.Wc + net.bc
-        scores -= scores.max(axis=1, keepdims=True)
-        e = np.exp(scores)
-        total = e.sum(axis=1, keepdims=True)
+        e = net.Wc.T @ flat.T
+        e += net.bc[:, None]
+        if _steep(net.Wc.T, net.bc):
+            e -= e.max(axis=0)
         rows = np.arange(len(flat))
-        logs = (scores[rows, fc] - np.log(total[:, 0])).astype(np.float64)
-        scale = 1.0 / max(1, int(fu.sum()))
+        logs = e[fc, rows].astype(np.float64)
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        logs -= np.log(total)
+        scale = np.float32(1.0 / max(1, int(fu.sum())))
         if self.rate:
             grad = Net(v.head)
             e /= total
-            e[rows, fc] -= 1
-            e *= fu[:, None] * np.float32(scale)
-            grad.Wc[...] = flat.T @ e
-            grad.bc[...] = e.sum(axis=0)
-            down = e @ net.Wc.T
-        order = np.argsort(fc, kind="stable")
+            e[fc, rows] -= 1
+            e *= fu * scale
+            grad.Wc[...] = (e @ flat).T
+            grad.bc[...] = e.sum(axis=1)
+            down = e.T @ net.Wc.T
+        # the frequent tokens, class by class
+        steep = _steep(net.Wo, net.bo)
+        order = np.flatnonzero(fw >= 0)
+        order = order[np.argsort(fc[order].astype(np.int16), kind="stable")]
         cuts = np.searchsorted(fc[order], np.arange(HEAD_CLASSES + 1))
+        sorted_flat, places, inside = flat[order], fw[order], np.empty(len(order))
+        sent = np.empty((len(order), h), np.float32) if self.rate else None
         for k in range(HEAD_CLASSES):
             a, b = v.bounds[k], v.bounds[k + 1]
-            own = order[cuts[k] : cuts[k + 1]]
-            own = own[fw[own] >= 0]
-            if not len(own) or b <= a:
+            lo, hi = cuts[k], cuts[k + 1]
+            if lo == hi or b <= a:
                 continue
-            mine, place = flat[own], fw[own] - a
-            s = mine @ net.Wo[a:b].T + net.bo[a:b]
-            s -= s.max(axis=1, keepdims=True)
-            p = np.exp(s)
-            sums = p.sum(axis=1, keepdims=True)
-            at = np.arange(len(own))
-            logs[own] += s[at, place] - np.log(sums[:, 0])
+            mine, place, at = sorted_flat[lo:hi], places[lo:hi] - a, np.arange(hi - lo)
+            p = net.Wo[a:b] @ mine.T
+            p += net.bo[a:b, None]
+            if steep:
+                p -= p.max(axis=0)
+            picked = p[place, at]
+            np.exp(p, out=p)
+            sums = p.sum(axis=0)
+            inside[lo:hi] = picked - np.log(sums)
             if self.rate:
                 p /= sums
-                p[at, place] -= 1
-                p *= np.float32(scale)
-                grad.Wo[a:b] = p.T @ mine
-                grad.bo[a:b] = p.sum(axis=0)
-                down[own] += p @ net.Wo[a:b]
+                p[place, at] -= 1
+                p *= scale
+                grad.Wo[a:b] = p @ mine
+                grad.bo[a:b] = p.sum(axis=1)
+                sent[lo:hi] = p.T @ net.Wo[a:b]
+        logs[order] += inside
         if self.rate:
-            self._learn(grad, down.reshape(steps, lanes, h), x, inputs, before, zs, rs, ns, hn, keep)
+            down[order] += sent
+            self._learn(grad, down.reshape(steps, lanes, h), x, inputs, before, zrs, ns, hn, keep)
         return np.where(used, logs.reshape(steps, lanes), 0.0)
 
-    def _learn(self, grad: Net, down: np.ndarray, x: np.ndarray, inputs: np.ndarray, before, zs, rs, ns, hn, keep) -> None:
+    def _learn(self, grad: Net, down: np.ndarray, x: np.ndarray, inputs: np.ndarray, before, zrs, ns, hn, keep) -> None:
         """Back through the window, whose first state is taken as given; then one step of Adam."""
         net, h = self.net, WIDTH
         steps, lanes = x.shape
+        zs, rs = zrs[:, :, :h], zrs[:, :, h:]
+        # what does not depend on the steps after
+        of_z = (before - ns) * zs * (1 - zs)
+        of_n = (1 - zs) * (1 - ns * ns)
+        of_r = hn * rs * (1 - rs)
         back = np.zeros((lanes, h), np.float32)
         gates = np.empty((steps, lanes, 3 * h), np.float32)
         to_state = np.empty_like(gates)
+        to_before = np.ascontiguousarray(net.Wh.T)
         for t in range(steps - 1, -1, -1):
             d = back + down[t]
-            z, r, n = zs[t], rs[t], ns[t]
-            dn = d * (1 - z) * (1 - n * n)
-            g = gates[t]
-            g[:, :h] = d * (before[t] - n) * z * (1 - z)
-            g[:, h : 2 * h] = dn * hn[t] * r * (1 - r)
+            dn = d * of_n[t]
+            g, s = gates[t], to_state[t]
+            np.multiply(d, of_z[t], out=g[:, :h])
+            np.multiply(dn, of_r[t], out=g[:, h : 2 * h])
             g[:, 2 * h :] = dn
-            s = to_state[t]
             s[:, : 2 * h] = g[:, : 2 * h]
-            s[:, 2 * h :] = dn * r
-            back = (d * z + s @ net.Wh.T) * keep[t]
+            np.multiply(dn, rs[t], out=s[:, 2 * h :])
+            back = s @ to_before
+            back += d * zs[t]
+            back *= keep[t]
         flat = gates.reshape(-1, 3 * h)
-        grad.Wh[...] = np.asarray(before).reshape(-1, h).T @ to_state.reshape(-1, 3 * h)
+        grad.Wh[...] = before.reshape(-1, h).T @ to_state.reshape(-1, 3 * h)
         grad.b[...] = flat.sum(axis=0)
         grad.Wx[...] = inputs.reshape(-1, h).T @ flat
         rows = x.ravel()
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if len(net.E) <= 65_536 else rows, kind="stable")
         first = np.flatnonzero(np.diff(rows[order], prepend=-1))
         grad.E[rows[order][first]] = np.add.reduceat((flat @ net.Wx.T)[order], first, axis=0)
-        norm = float(np.sqrt(np.dot(grad.vector, grad.vector)))
-        if norm > 1:
-            grad.vector /= norm
         g = grad.vector
+        norm = float(np.sqrt(np.dot(g, g)))
+        if norm > 1:
+            g /= norm
         self.steps += 1
-        self.mean += 0.1 * (g - self.mean)
-        self.squares += 0.01 * (g * g - self.squares)
-        size = np.sqrt(self.squares / (1 - 0.99**self.steps)) + 1e-6
-        net.vector -= self.rate / (1 - 0.9**self.steps) * self.mean / size
+        self.mean *= 0.9
+        self.squares *= 0.99
+        self.squares += np.float32(0.01) * g * g
+        g *= 0.1
+        self.mean += g
+        size = np.sqrt(np.multiply(self.squares, np.float32(1 / (1 - 0.99**self.steps)), out=g), out=g)
+        size += 1e-6
+        np.divide(self.mean, size, out=size)
+        size *= self.rate / (1 - 0.9**self.steps)
+        net.vector -= size
