@@ -10,8 +10,9 @@
    their pairs are linked already; so is a class with fewer than ``MATCHES`` coordinates left, which cannot be
    linked with another group. Each round chooses anew who leads; the rounds
    end when the postings hardly get fewer.
-4. The rest is exact. The classes that are left meet, each in the rarest of its shingles only, as many as make sure that a linked pair meets in one (the prefix,
-   by set size); what meets is confirmed.
+4. The rest is exact. The classes that are left meet, each in those of its shingles only that bring the fewest pairs together, as many as make sure that a linked pair meets in one (the prefix,
+   by set size); what meets is confirmed,
+   first with a few leaders only, until what is linked is in one group.
 5. Components of the confirmed links are the duplicate groups.
 
 A link exactly at the threshold is missed with a probability of about 4e-6, a link at 0.8 with less
@@ -45,6 +46,12 @@ MATCHES = 22
 ROUNDS = 5
 #: A round of leaders that leaves more than this share of the postings it began with is the last; the last step does the rest.
 SETTLING = 0.9
+#: Leaders of a key in a round of the last step. Its rounds go on while more pairs are left than so many times the rows
+#: and a round takes a tenth off them.
+LEADERS = 8
+SPARSE = 4
+#: Pairs of one leader that are confirmed together, so that its set moves once for so many.
+TOGETHER = 256
 #: Agreeing bits of the sketch under which a leader round does not look at a pair; the last step does.
 #: 3.5 deviations under the mean at 0.75.
 SKETCH_BITS = 48
@@ -187,24 +194,36 @@ def postings(classes: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union.
 
-    Only the sets of classes in a pair go into the joins.
+    The pairs of an a are dealt to parts of about ``TOGETHER``. The set of b moves with its pair, that of a once per part.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    paired = sets.join(ids, "id", "left_semi")
-    left = paired.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = paired.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    often = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("bigint")
+    dealt = durable(pairs.join(often, "a", "left").select("a", "b", part.alias("part")))
+    none = F.lit(None).cast("bigint")
+    firsts = dealt.select("a", "part").distinct().withColumn("b", none)
+    # one join brings the sets: a part's first row that of a, all others that of b
+    rows = dealt.unionByName(firsts).withColumn("id", F.coalesce("b", "a"))
+    met = rows.join(sets, "id").select("a", "part", "b", "hashes")
+    ordered = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x = None, np.zeros(0, np.uint64)
         for batch in batches:
+            a, part, b = (batch.column(i).to_pylist() for i in range(3))
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+            for key, other, v in zip(zip(a, part), b, batch.column(3)):
+                hashes = np.frombuffer(v.as_buffer(), np.uint64)
+                if other is None:
+                    now, x = key, hashes.copy()
+                    keep.append(False)
+                    continue
+                if key != now:
+                    raise ValueError("a pair without its set")
+                both = len(np.intersect1d(x, hashes, assume_unique=True))
+                keep.append(100 * both >= 75 * (len(x) + len(hashes) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return durable(met.mapInArrow(run, "a bigint, b bigint"))
+    return durable(ordered.mapInArrow(run, "a bigint, b bigint"))
 
 
 def _set_table(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -248,9 +267,9 @@ def _led(live: DataFrame, salt: int) -> DataFrame:
 
 
 def _collisions(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a class and a posting's leader in another group, with the number of collisions."""
+    """Pairs (a, b) of a posting's leader and a class of another group, with the number of collisions."""
     apart = met.where("part != lead")
-    return apart.groupBy(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return apart.groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _enough(postings_left: DataFrame, name: str = "m") -> DataFrame:
@@ -302,8 +321,8 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
         live = durable(_joined(met.join(_enough(met), "id", "left_semi"), stars))
         if live.isEmpty():
             return members, found, stars, seen
-    new = _confirmed(durable(_rest(live, sets, classes)), sets)
-    return members, found.unionByName(new), components(_edges(stars).unionByName(new)), seen
+    new, stars = _rest(live, stars, sets, classes)
+    return members, found.unionByName(new), stars, seen
 
 
 def _edges(stars: DataFrame) -> DataFrame:
@@ -344,24 +363,16 @@ def _bucket(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def _rest(shared: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different groups that can still be linked, by prefixes of their full sets.
+def _prefixes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, id, part, n, own, ahead) for rows (id, shingle, part): the classes under what a linked class of another group must share one of.
 
     A pair of sizes n and m shares 3 (n + m) / 7 shingles at least, so it meets in the n - 3 (n + m) / 7 + 1
-    rarest shingles of either side. Classes are posted per bucket of partner sizes; shingles inside one
-    group come first in the order and are not posted at all.
+    shingles of either side that bring the fewest pairs of different groups together. Classes are posted per bucket of partner sizes; shingles inside one
+    group are not posted at all. ``ahead`` counts a class's posted shingles from this one on.
     """
-    able = durable(_open_classes(shared))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = np.frombuffer(v.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), i)), pa.array(hashes)], ["id", "shingle"])
-
-    left = sets.join(able.select("id"), "id", "left_semi")
-    rows = durable(left.mapInArrow(run, "id bigint, shingle bigint").join(able, "id"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    held = rows.groupBy("shingle", "part").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("shingle")
+    met_in = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("f")
+    often = held.agg(met_in, F.count(F.lit(1)).alias("parts")).where("parts > 1")
     order = F.array_sort(F.collect_list(F.struct("f", "shingle")))
     met = rows.join(often.select("shingle", "f"), "shingle").groupBy("id", "part").agg(order.alias("common"))
     sized = met.join(classes.select("id", F.col("n_shingles").alias("n")), "id").where(4 * F.size("common") >= 3 * F.col("n"))
@@ -373,17 +384,78 @@ def _rest(shared: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     need = F.ceil(3 * (F.col("n") + F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")))) / 7)
     count = (F.size("common") - need + 1).cast("int")
     posted = partner.where(count > 0).select(
-        "id", "part", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.explode(F.slice("common", F.lit(1), count)).alias("s"),
-    ).select("id", "part", "n", "own", "low", "high", F.col("s.shingle").alias("shingle"))
-    x, y = posted.alias("x"), posted.alias("y")
-    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    sides = (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))
-    return (
-        x.join(y, same & sides & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _small_enough("x.n", "y.n"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
+        "*", F.size("common").alias("all"), F.posexplode(F.slice("common", F.lit(1), count)).alias("at", "s")
     )
+    key = F.struct(F.col("s.shingle").alias("shingle"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return durable(posted.select(key.alias("key"), "id", "part", "n", "own", (F.col("all") - F.col("at")).alias("ahead")))
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Rows of one key whose classes can be linked and have not met in a key before."""
+    sides = (F.col("key.low") == F.col("key.high")) | (F.col(f"{x}.own") != F.col(f"{y}.own"))
+    # at the first shingle that a pair shares, both still have all shared ones ahead
+    reach = 7 * F.least(f"{x}.ahead", f"{y}.ahead") >= 3 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    return sides & reach & (F.col(f"{x}.part") != F.col(f"{y}.part")) & _small_enough(f"{x}.n", f"{y}.n")
+
+
+def _pairs_left(posted: DataFrame) -> float:
+    """Pairs of different groups that meet in the keys."""
+    held = posted.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key")
+    met = held.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("f"))
+    return met.agg(F.sum("f")).first()[0] or 0.0
+
+
+def _regrouped(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """The rows with the group that each class is in by now."""
+    now = stars.withColumnRenamed("node", "id")
+    return rows.join(now, "id", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+
+
+def _rest(shared: DataFrame, stars: DataFrame, sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) between what is left, exact, and the groups (node, component) with them.
+
+    Classes meet by prefixes of their full sets. Rounds first pair every class with a few leaders of each
+    of its keys only, which merges what is linked; then the prefixes are chosen anew and all pairs of different
+    groups that still meet are confirmed.
+    """
+    able = durable(_open_classes(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = np.frombuffer(v.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), i)), pa.array(hashes)], ["id", "shingle"])
+
+    left = sets.join(able.select("id"), "id", "left_semi")
+    rows = durable(left.mapInArrow(run, "id bigint, shingle bigint").join(able, "id"))
+    first = posted = _prefixes(rows, classes)
+    found, salt = None, 0
+    pairs_left = _pairs_left(posted)
+    while pairs_left > SPARSE * first.count():
+        new = _confirmed(durable(_leader_pairs(posted, salt)), sets)
+        stars = components(_edges(stars).unionByName(new))
+        found = new if found is None else found.unionByName(new)
+        posted, salt, before = durable(_regrouped(first, stars)), salt + 1, pairs_left
+        pairs_left = _pairs_left(posted)
+        if pairs_left > 0.9 * before:
+            break
+    if found is not None:
+        posted = _prefixes(_regrouped(rows, stars), classes)
+    x, y = posted.alias("x"), posted.alias("y")
+    met = x.join(y, ["key"]).where((F.col("x.id") > F.col("y.id")) & _may_link("x", "y"))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    new = _confirmed(durable(pairs), sets)
+    return new if found is None else found.unionByName(new), components(_edges(stars).unionByName(new))
+
+
+def _leader_pairs(posted: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of a key's leaders, the least by salted hashes of the id, and the classes that they may be linked with."""
+    mine = [F.xxhash64(F.lit(salt), F.lit(i), "id") for i in range(LEADERS)]
+    least = [F.min(F.struct(h.alias("h"), "id", "part", "n", "own", "ahead")).alias(f"l{i}") for i, h in enumerate(mine)]
+    leaders = posted.groupBy("key").agg(*least, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    every = leaders.select("key", F.array_distinct(F.transform(F.array(*[f"l{i}" for i in range(LEADERS)]), lambda l: l.dropFields("h"))).alias("ls"))
+    met = posted.join(every, "key").select("key", F.struct("id", "part", "n", "own", "ahead").alias("x"), F.explode("ls").alias("y"))
+    return met.where((F.col("x.id") != F.col("y.id")) & _may_link("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
 
 def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
