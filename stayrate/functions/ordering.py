@@ -15,6 +15,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ from pyspark.sql import functions as F
 _MID = "__mid"
 _PID = "__pid"
 
+#: Accuracy of the sketch that brackets a quantile, and the share of a group on either side of it that the bracket takes.
+#: The sketch is off by 1 / ``SKETCH`` of the group at most, a tenth of that share.
+SKETCH = 1_000
+BRACKET = 0.01
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
@@ -186,3 +192,28 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         lo, hi = float(row[f"lo{i}"]), float(row[f"hi{i}"])
         out.append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
     return out
+
+
+def group_quantiles(df: DataFrame, groups: Sequence[str], value: str, q: float, name: str, *others: Column) -> DataFrame:
+    """Per group the smallest value that at least the share ``q`` of its known values does not exceed, exact at any size.
+
+    ``others`` are further aggregates of the first pass. That pass brackets the quantile with a sketch; the second counts
+    what lies below the bracket and each distinct value inside, about two in a hundred rows, so no group has to fit in memory.
+    ``df`` is read twice.
+    """
+    v, share = F.col(value), Fraction(str(q))
+    bounds = F.percentile_approx(v, [max(q - BRACKET, 0.0), min(q + BRACKET, 1.0)], SKETCH)
+    heads = durable(df.groupBy(*groups).agg(bounds.alias("__b"), F.count(v).alias("__n"), *others))
+    edges = heads.select(*groups, F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"))
+    inside = df.alias("r").join(edges.alias("s"), _same("r", "s", groups)).where(v <= F.col("__hi"))
+    # one row per distinct value of the bracket; a null stands for all that is below
+    counts = inside.groupBy(*[F.col(f"r.{g}").alias(g) for g in groups], F.when(v >= F.col("__lo"), v).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*groups).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    above = F.expr(f"__n * {share.denominator - share.numerator}L div {share.denominator}L")
+    rank = F.greatest(F.col("__n") - above, F.lit(1))
+    ranked = counts.withColumn("__run", F.sum("__c").over(upto))
+    met = heads.alias("r").join(ranked.alias("s"), _same("r", "s", groups) & (F.col("__run") >= rank) & (F.col("__run") - F.col("__c") < rank), "left")
+    missed = F.raise_error(F.lit("a quantile outside the bracket of its sketch"))
+    exact = F.when(F.col("__n") > 0, F.coalesce("__v", missed))
+    taken = {*groups, "__b", "__n"}
+    return met.select(*[F.col(f"r.{g}") for g in groups], exact.alias(name), *[F.col(f"r.{c}") for c in heads.columns if c not in taken])

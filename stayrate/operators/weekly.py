@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.common import all_of, in_country, period_start, safe_div, shift_back
+from stayrate.functions.ordering import durable, group_quantiles
 from stayrate.functions.rules import HOLIDAYS, reason_label
 from stayrate.params import Params
 
@@ -279,15 +280,13 @@ def violations_by_type_action(compliance: DataFrame, p: Params) -> DataFrame:
 def city_benchmark(delivery_weekly: DataFrame, shift_weekly: DataFrame) -> DataFrame:
     """Median earnings per hour and mean earnings per city and period.
 
-    The median is the mergeable quantile sketch, so a city with very many riders needs no more memory.
+    The median is exact, the lower of two in the middle; a city with very many riders needs no more memory.
     """
     hours = shift_weekly.select("rider_id", "week", "hours_worked")
     rows = delivery_weekly.where(F.col("city_code").isNotNull()).join(hours, ["rider_id", "week"], "left")
-    rate = safe_div("total_earnings", "hours_worked")
-    return rows.groupBy("city_code", "week").agg(
-        F.percentile_approx(rate, 0.5, 10000).alias("city_median_earnings_per_hour"),
-        F.avg("total_earnings").alias("city_avg_total_earnings"),
-    )
+    rates = durable(rows.select("city_code", "week", "total_earnings", safe_div("total_earnings", "hours_worked").alias("rate")))
+    mean = F.avg("total_earnings").alias("city_avg_total_earnings")
+    return group_quantiles(rates, ["city_code", "week"], "rate", 0.5, "city_median_earnings_per_hour", mean)
 
 
 def acquisition_source(applicants: DataFrame, country: str | None = None) -> DataFrame:
