@@ -363,31 +363,52 @@ def _bucket(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
+def _shingles(sets: DataFrame, able: DataFrame) -> DataFrame:
+    """Rows (id, shingle, part) of the classes (id, part); a class gets its group before its set is spread out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, part, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                hashes = np.frombuffer(v.as_buffer(), np.int64)
+                columns = [pa.array(np.full(len(hashes), i)), pa.array(hashes), pa.array(np.full(len(hashes), part))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "shingle", "part"])
+
+    held = sets.join(able.select("id", "part"), "id").select("id", "part", "hashes")
+    return held.mapInArrow(run, "id bigint, shingle bigint, part bigint")
+
+
 def _prefixes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (key, id, part, n, own, ahead) for rows (id, shingle, part): the classes under what a linked class of another group must share one of.
+    """Rows (id, part, n, own, common) for rows (id, shingle, part): the classes that may be linked with another group, with the
+    shingles that they share with one, those first that bring the fewest pairs of different groups together.
 
-    A pair of sizes n and m shares 3 (n + m) / 7 shingles at least, so it meets in the n - 3 (n + m) / 7 + 1
-    shingles of either side that bring the fewest pairs of different groups together. Classes are posted per bucket of partner sizes; shingles inside one
-    group are not posted at all. ``ahead`` counts a class's posted shingles from this one on.
+    A class is one row here; ``_posted`` spreads it out, so that a new group is told once per class.
     """
     held = rows.groupBy("shingle", "part").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("shingle")
     met_in = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("f")
     often = held.agg(met_in, F.count(F.lit(1)).alias("parts")).where("parts > 1")
     order = F.array_sort(F.collect_list(F.struct("f", "shingle")))
-    met = rows.join(often.select("shingle", "f"), "shingle").groupBy("id", "part").agg(order.alias("common"))
+    met = rows.join(often.select("shingle", "f"), "shingle").groupBy("id", "part").agg(order["shingle"].alias("common"))
     sized = met.join(classes.select("id", F.col("n_shingles").alias("n")), "id").where(4 * F.size("common") >= 3 * F.col("n"))
-    partner = sized.select(
-        "*",
-        _bucket(F.col("n")).alias("own"),
-        F.explode(F.sequence(_bucket(F.floor(F.col("n") * 0.75)), _bucket(F.ceil(F.col("n") / 0.75)))).alias("other"),
+    return durable(sized.select("id", "part", "n", _bucket(F.col("n")).alias("own"), "common"))
+
+
+def _posted(prefixes: DataFrame) -> DataFrame:
+    """Rows (key, id, part, n, own, ahead): the classes under what a linked class of another group must share one of.
+
+    A pair of sizes n and m shares 3 (n + m) / 7 shingles at least, so it meets in the n - 3 (n + m) / 7 + 1
+    first ones of either side. Classes are posted per bucket of partner sizes; shingles inside one
+    group are not posted at all. ``ahead`` counts a class's posted shingles from this one on.
+    """
+    partner = prefixes.select(
+        "*", F.explode(F.sequence(_bucket(F.floor(F.col("n") * 0.75)), _bucket(F.ceil(F.col("n") / 0.75)))).alias("other")
     )
     need = F.ceil(3 * (F.col("n") + F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")))) / 7)
     count = (F.size("common") - need + 1).cast("int")
     posted = partner.where(count > 0).select(
-        "*", F.size("common").alias("all"), F.posexplode(F.slice("common", F.lit(1), count)).alias("at", "s")
+        "id", "part", "n", "own", "other", F.size("common").alias("all"), F.posexplode(F.slice("common", F.lit(1), count)).alias("at", "shingle")
     )
-    key = F.struct(F.col("s.shingle").alias("shingle"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return durable(posted.select(key.alias("key"), "id", "part", "n", "own", (F.col("all") - F.col("at")).alias("ahead")))
+    key = F.struct("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return posted.select(key.alias("key"), "id", "part", "n", "own", (F.col("all") - F.col("at")).alias("ahead"))
 
 
 def _may_link(x: str, y: str) -> Column:
@@ -419,28 +440,20 @@ def _rest(shared: DataFrame, stars: DataFrame, sets: DataFrame, classes: DataFra
     groups that still meet are confirmed.
     """
     able = durable(_open_classes(shared))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = np.frombuffer(v.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), i)), pa.array(hashes)], ["id", "shingle"])
-
-    left = sets.join(able.select("id"), "id", "left_semi")
-    rows = durable(left.mapInArrow(run, "id bigint, shingle bigint").join(able, "id"))
-    first = posted = _prefixes(rows, classes)
+    first = _prefixes(_shingles(sets, able), classes)
+    posted = _posted(first)
     found, salt = None, 0
-    pairs_left = _pairs_left(posted)
-    while pairs_left > SPARSE * first.count():
+    pairs_left, size = _pairs_left(posted), posted.count()
+    while pairs_left > SPARSE * size:
         new = _confirmed(durable(_leader_pairs(posted, salt)), sets)
         stars = components(_edges(stars).unionByName(new))
         found = new if found is None else found.unionByName(new)
-        posted, salt, before = durable(_regrouped(first, stars)), salt + 1, pairs_left
+        posted, salt, before = _posted(durable(_regrouped(first, stars))), salt + 1, pairs_left
         pairs_left = _pairs_left(posted)
         if pairs_left > 0.9 * before:
             break
     if found is not None:
-        posted = _prefixes(_regrouped(rows, stars), classes)
+        posted = _posted(_prefixes(_shingles(sets, _regrouped(able, stars)), classes))
     x, y = posted.alias("x"), posted.alias("y")
     met = x.join(y, ["key"]).where((F.col("x.id") > F.col("y.id")) & _may_link("x", "y"))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
