@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.tokens import Encoder
+from stayrate.llm.tokens import encoder
 
 WINDOW = 4096
 END_ID = 2
@@ -154,7 +154,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         packer = Packer(window, (task.partitionId() if task else 0) << 40)
-        encoder = Encoder(tokenizer)
+        shared = encoder(tokenizer)
         key_type = None
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,8 +171,8 @@ def pack(
         rows: list[tuple] = []
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for part in encoder.slices(batch):
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+            for part in shared.slices(batch):
+                for key, ids in zip(part.column(0).to_pylist(), shared.encode(part.column(1))):
                     rows.extend(packer.add(key, np.append(ids, np.int32(end_id))))
                 if len(rows) >= 4096:
                     yield table(rows)

@@ -68,6 +68,12 @@ def shares_parts(path: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and cut and first["pattern"].get("Regex", "").endswith(_SHARED_CUT)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str | None) -> Encoder:
+    """The encoder of a worker process: later tasks of the process find the tokenizer and the words of earlier ones."""
+    return Encoder(path)
+
+
 class Encoder:
     """Token ids of texts: from parts that words share where the tokenizer file allows it, else of each whole text."""
 
