@@ -12,7 +12,7 @@
    end when the postings hardly get fewer.
 4. The rest is exact. The classes that are left meet, each in those of its shingles only that bring the fewest pairs together, as many as make sure that a linked pair meets in one (the prefix,
    by set size); what meets is confirmed,
-   first with a few leaders only, until what is linked is in one group.
+   in crowded keys first with a few leaders only, which brings most of what is linked into one group.
 5. Components of the confirmed links are the duplicate groups.
 
 A link exactly at the threshold is missed with a probability of about 4e-6, a link at 0.8 with less
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.functions.ordering import durable
@@ -46,10 +46,11 @@ MATCHES = 22
 ROUNDS = 5
 #: A round of leaders that leaves more than this share of the postings it began with is the last; the last step does the rest.
 SETTLING = 0.9
-#: Leaders of a key in a round of the last step. Its rounds go on while more pairs are left than so many times the rows
-#: and a round takes a tenth off them.
+#: Leaders of a key in a round of the last step. Its rounds are for keys with more than so many pairs a row, and go on
+#: while a round finds a link for one of so many of their classes.
 LEADERS = 8
 SPARSE = 4
+LINKING = 16
 #: Pairs of one leader that are confirmed together, so that its set moves once for so many.
 TOGETHER = 256
 #: Agreeing bits of the sketch under which a leader round does not look at a pair; the last step does.
@@ -419,13 +420,6 @@ def _may_link(x: str, y: str) -> Column:
     return sides & reach & (F.col(f"{x}.part") != F.col(f"{y}.part")) & _small_enough(f"{x}.n", f"{y}.n")
 
 
-def _pairs_left(posted: DataFrame) -> float:
-    """Pairs of different groups that meet in the keys."""
-    held = posted.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key")
-    met = held.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("f"))
-    return met.agg(F.sum("f")).first()[0] or 0.0
-
-
 def _regrouped(rows: DataFrame, stars: DataFrame) -> DataFrame:
     """The rows with the group that each class is in by now."""
     now = stars.withColumnRenamed("node", "id")
@@ -435,25 +429,21 @@ def _regrouped(rows: DataFrame, stars: DataFrame) -> DataFrame:
 def _rest(shared: DataFrame, stars: DataFrame, sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between what is left, exact, and the groups (node, component) with them.
 
-    Classes meet by prefixes of their full sets. Rounds first pair every class with a few leaders of each
-    of its keys only, which merges what is linked; then the prefixes are chosen anew and all pairs of different
-    groups that still meet are confirmed.
+    Classes meet by prefixes of their full sets. Rounds first pair the classes of crowded keys with a few leaders of each,
+    which merges what is linked; then all pairs of different groups that still meet are confirmed. The prefixes are
+    chosen once: they hold for every pair of different groups, also when there are fewer groups later.
     """
     able = durable(_open_classes(shared))
     first = _prefixes(_shingles(sets, able), classes)
-    posted = _posted(first)
-    found, salt = None, 0
-    pairs_left, size = _pairs_left(posted), posted.count()
-    while pairs_left > SPARSE * size:
-        new = _confirmed(durable(_leader_pairs(posted, salt)), sets)
+    crowded = durable(_crowded(_posted(first)))
+    many = crowded.select("id").distinct().count()
+    found, salt, linked = None, 0, many
+    while linked * LINKING >= many > 0:
+        new = _confirmed(durable(_apart(_leader_pairs(crowded, salt), stars)), sets)
         stars = components(_edges(stars).unionByName(new))
         found = new if found is None else found.unionByName(new)
-        posted, salt, before = _posted(durable(_regrouped(first, stars))), salt + 1, pairs_left
-        pairs_left = _pairs_left(posted)
-        if pairs_left > 0.9 * before:
-            break
-    if found is not None:
-        posted = _posted(_prefixes(_shingles(sets, _regrouped(able, stars)), classes))
+        salt, linked = salt + 1, new.count()
+    posted = _posted(first if found is None else durable(_regrouped(first, stars)))
     x, y = posted.alias("x"), posted.alias("y")
     met = x.join(y, ["key"]).where((F.col("x.id") > F.col("y.id")) & _may_link("x", "y"))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -461,14 +451,56 @@ def _rest(shared: DataFrame, stars: DataFrame, sets: DataFrame, classes: DataFra
     return new if found is None else found.unionByName(new), components(_edges(stars).unionByName(new))
 
 
-def _leader_pairs(posted: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) of a key's leaders, the least by salted hashes of the id, and the classes that they may be linked with."""
-    mine = [F.xxhash64(F.lit(salt), F.lit(i), "id") for i in range(LEADERS)]
-    least = [F.min(F.struct(h.alias("h"), "id", "part", "n", "own", "ahead")).alias(f"l{i}") for i, h in enumerate(mine)]
-    leaders = posted.groupBy("key").agg(*least, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-    every = leaders.select("key", F.array_distinct(F.transform(F.array(*[f"l{i}" for i in range(LEADERS)]), lambda l: l.dropFields("h"))).alias("ls"))
-    met = posted.join(every, "key").select("key", F.struct("id", "part", "n", "own", "ahead").alias("x"), F.explode("ls").alias("y"))
-    return met.where((F.col("x.id") != F.col("y.id")) & _may_link("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+def _crowded(posted: DataFrame) -> DataFrame:
+    """Rows (key, even, id, part, n, own, ahead) of the keys in which several groups and more than ``SPARSE`` pairs a row meet.
+
+    ``even`` is whether both sides of a key have the same bucket of sizes; the key is one number here.
+    """
+    each = Window.partitionBy("key")
+    held = posted.withColumns({"rows": F.count(F.lit(1)).over(each), "lo": F.min("part").over(each), "hi": F.max("part").over(each)})
+    even = (F.col("key.low") == F.col("key.high")).alias("even")
+    several = held.where((F.col("lo") != F.col("hi")) & (F.col("rows") - 1 > 2 * SPARSE))
+    return several.select(F.xxhash64("key").alias("key"), even, "id", "part", "n", "own", "ahead")
+
+
+def _leader_pairs(crowded: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of a key's leaders, the least by a salted hash of the id, and the classes that they may be linked with."""
+    leaders = LEADERS
+    ordered = crowded.repartition("key").sortWithinPartitions("key", F.xxhash64(F.lit(salt), "id"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            key, even, ids, part, n, own, ahead = columns
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            start = np.repeat(first, np.diff(np.append(first, len(key))))
+            place = np.arange(len(key)) - start
+            pairs = [np.zeros((0, 2), np.int64)]
+            for j in range(leaders):
+                y = np.flatnonzero(place > j)
+                x = start[y] + j
+                ok = (part[x] != part[y]) & (even[y] | (own[x] != own[y])) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+                ok &= 7 * np.minimum(ahead[x], ahead[y]).astype(np.int64) >= 3 * (n[x] + n[y])
+                pairs.append(np.stack([ids[x[ok]], ids[y[ok]]], axis=1))
+            # a key that goes on in the next batch keeps its leaders
+            held = [c[first[-1] : first[-1] + leaders] for c in columns]
+            met = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["a", "b"])
+
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are in different groups by now."""
+    for side in ("a", "b"):
+        now = stars.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(now, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    return pairs.where("of_a != of_b").select("a", "b")
 
 
 def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
